@@ -62,19 +62,27 @@ def tokenised(source: str, doc_id: str, text: str) -> str:
             SELECT {doc_id} AS doc_id, list_filter(string_split({simple(text)}, ' '), lambda w: w <> '') AS ws FROM {source})"""
 
 
-_offsets = ", ".join(f"({o})" for o in range(-WINDOW, WINDOW + 1) if o)
+def pairs_within(window: int) -> str:
+    """Neighbours by distance, ``o`` being the signed distance."""
+    offsets = [o for o in range(-window, window + 1) if o]
+    near = ", ".join(f"{'lag' if o < 0 else 'lead'}(word_id, {abs(o)}) OVER w" for o in offsets)
+    return f"""
+        SELECT doc_id, chunk_id, pos, x, y, o FROM (
+            SELECT doc_id, chunk_id, pos, word_id AS x, unnest([{near}]) AS y, unnest({offsets}) AS o
+            FROM tokens WINDOW w AS (PARTITION BY doc_id, chunk_id ORDER BY pos)) WHERE y IS NOT NULL"""
 
 
-def pairs_within(window: int) -> str:
+def pairs_joined(window: int) -> str:
+    """The same pairs from equal positions of a self join."""
     offsets = ", ".join(f"({o})" for o in range(-window, window + 1) if o)
     return f"""
         SELECT a.doc_id, a.chunk_id, a.pos, a.word_id AS x, b.word_id AS y
-        FROM tokens a CROSS JOIN (VALUES {offsets}) o(o)
-        JOIN tokens b ON b.doc_id = a.doc_id AND b.chunk_id = a.chunk_id AND b.pos = a.pos + o.o"""
+        FROM (SELECT *, pos + o AS at FROM tokens CROSS JOIN (VALUES {offsets}) o(o)) a
+        JOIN tokens b ON b.doc_id = a.doc_id AND b.chunk_id = a.chunk_id AND b.pos = a.at"""
 
 
 def random_vec(key: str, slot: str, seed: int, scale: float) -> str:
-    cell = f"(({uniform(key, slot, 'i', seed)} - 0.5) * {scale})::FLOAT"
+    cell = f"(({uniform(key, slot, 'i', seed)} - 0.5) * {scale})::FLOAT::DOUBLE"
     return f"list_transform(range(0, {DIM}), lambda i: {cell})"
 
 
@@ -173,12 +181,13 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT l1 AS is_leaf, i1 AS idx, node, 1 AS code FROM merges WHERE node > 0
         UNION ALL SELECT l0, i0, node, 0 FROM merges WHERE node > 0""",
     ),
-    "tree": (
+    "climb": (
         ("links", "leaf"),
         """SELECT f.word_id, 1 AS depth, k.node AS node_id, k.code FROM leaf f JOIN links k ON k.is_leaf AND k.idx = f.idx
         UNION ALL
-        SELECT t.word_id, t.depth + 1, k.node, k.code FROM tree t JOIN links k ON NOT k.is_leaf AND k.idx = t.node_id - 1""",
+        SELECT t.word_id, t.depth + 1, k.node, k.code FROM climb t JOIN links k ON NOT k.is_leaf AND k.idx = t.node_id - 1""",
     ),
+    "tree": (("climb",), "SELECT word_id, depth, node_id, code FROM climb"),
     "in_vec": (
         ("vocab",),
         f"""SELECT word_id, sense, {random_vec('word_id', 'sense', IN_SEED, SCALE)} AS vec
@@ -196,8 +205,7 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     "prior": (("sense_counts",), _sticks()),
     "node_f": (
         ("pair_counts", "tree", "in_vec", "out_vec"),
-        """SELECT x, n.node_id, sense, list_sum(list_transform(range(1, len(v.vec) + 1),
-            lambda i: v.vec[i]::DOUBLE * o.vec[i]::DOUBLE)) AS f
+        """SELECT x, n.node_id, sense, list_dot_product(v.vec, o.vec) AS f
         FROM (SELECT DISTINCT x, node_id FROM pair_counts JOIN tree ON tree.word_id = y) n
         JOIN in_vec v ON v.word_id = x JOIN out_vec o ON o.node_id = n.node_id""",
     ),
@@ -206,10 +214,14 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT x, node_id, {', '.join(f'max(f) FILTER (sense = {k}) AS f{k}' for k in KS)}
         FROM node_f GROUP BY x, node_id""",
     ),
+    "pair_steps": (
+        ("pair_counts", "tree"),
+        "SELECT x, y, n, node_id, code FROM pair_counts JOIN tree ON tree.word_id = y",
+    ),
     "pair_ll": (
-        ("pair_counts", "tree", "node_wide"),
+        ("pair_steps", "node_wide"),
         f"""SELECT x, y, any_value(n) AS n, {', '.join(f"sum({log_sigmoid(f'(f{k} * (1 - 2*code))')}) AS ll{k}" for k in KS)}
-        FROM pair_counts JOIN tree ON tree.word_id = y JOIN node_wide USING (x, node_id) GROUP BY x, y""",
+        FROM pair_steps JOIN node_wide USING (x, node_id) GROUP BY x, y""",
     ),
     "context_ll": (
         ("pairs", "pair_ll"),
@@ -254,12 +266,12 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     "norms": (("vectors",), "SELECT word_id, vec, sqrt(list_dot_product(vec, vec)) AS len FROM vectors"),
 }
 
-RECURSIVE = ("merges", "tree")
+RECURSIVE = ("merges", "climb")
 
 
 def scored_contexts(name: str, keys: str, context: str, target: str) -> dict[str, tuple[tuple[str, ...], str]]:
     """Relations that pick a sense for contexts ``(keys, word_id)`` of targets ``(keys, x)``."""
-    f = "list_sum(list_transform(range(1, len(v.vec) + 1), lambda i: v.vec[i]::DOUBLE * o.vec[i]::DOUBLE))"
+    f = "list_dot_product(v.vec, o.vec)"
     ll = f"""
         SELECT x, y, {', '.join(f"sum({log_sigmoid('t')}) FILTER (sense = {k}) AS ll{k}" for k in KS)} FROM (
             SELECT x, y, sense, {f} * (1 - 2*code) AS t
@@ -545,9 +557,10 @@ def _oracles() -> dict[str, str]:
         "SELECT word_id, freq::DOUBLE AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3 FROM vocab", "vocab"
     )
 
-    o["context_pairs"] = bind(pair_checks("SELECT * FROM pairs"), "pairs")
-    width = f"{WINDOW - 1} - {mixed('a.doc_id', 'a.pos', '0', 1)} % {WINDOW - 1}"
-    o["context_cut"] = bind(pair_checks(f"{pairs_within(WINDOW)} WHERE abs(o.o) <= {width}"), "tokens")
+    o["context_pairs"] = bind(pair_checks(pairs_joined(WINDOW)), "tokens")
+    width = f"{WINDOW - 1} - {mixed('doc_id', 'pos', '0', 1)} % {WINDOW - 1}"
+    cut = f"SELECT * FROM pairs JOIN (SELECT doc_id, chunk_id, pos, {width} AS width FROM tokens) USING (doc_id, chunk_id, pos)"
+    o["context_cut"] = bind(pair_checks(f"{cut} WHERE abs(o) <= width"), "pairs")
     o["pair_counts"] = bind("SELECT x, y, n FROM pair_counts", "pair_counts")
     o["wsi_context"] = bind("SELECT key, instance, side, r, word_id FROM inst_context", "inst_context")
     o["wwsi_context"] = bind("SELECT word, sense, context_id, side, r, word_id FROM nested_context", "nested_context")

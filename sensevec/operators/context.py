@@ -45,11 +45,15 @@ def _neighbours(tokens: DataFrame, window: int, width: Column | None) -> DataFra
     One exchange on (document, chunk) serves every offset; a chunk holds at most ``batch`` tokens.
     """
     order = W.partitionBy("doc_id", "chunk_id").orderBy("pos")
+    if width is not None:
+        # below the window, so it is computed once per token and not once per offset
+        tokens = tokens.withColumn("width", width)
+        width = F.col("width")
     cells = []
     for offset in [o for o in range(-window, window + 1) if o]:
         cell = F.lag("word_id", -offset).over(order) if offset < 0 else F.lead("word_id", offset).over(order)
         cells.append(cell if width is None else F.when(F.lit(abs(offset)) <= width, cell))
-    return tokens.withColumn("ctx", F.array_compact(F.array(*cells)))
+    return tokens.withColumn("ctx", F.array_compact(F.array(*cells))).drop("width")
 
 
 def contexts(

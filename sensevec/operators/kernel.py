@@ -155,6 +155,11 @@ def pair_scorer(shared, senses: int, min_prob: float | None):
     return run
 
 
+def sum_by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Rows of ``values`` added up by ``index``."""
+    return np.stack([np.bincount(index, values[:, k], size) for k in range(values.shape[1])], axis=1)
+
+
 def posterior(decoder: Decoder, vectors: np.ndarray, start_z: np.ndarray, ctx: np.ndarray, offsets: np.ndarray):
     """Sense probabilities per occurrence, and the log-likelihood rows behind them."""
     words, inverse = np.unique(ctx, return_inverse=True)
@@ -250,8 +255,7 @@ def round_scorer(shared, senses: int, lr: float, threshold: float):
                 # weight of each (word, sense): posteriors summed over the occurrences beside the word
                 kept = np.where(z >= threshold, z, 0.0)
                 per_pair = np.repeat(kept, np.diff(off), axis=0)
-                weight = np.zeros((len(words), len(ks)))
-                np.add.at(weight, inverse, per_pair)
+                weight = sum_by(inverse, per_pair, len(words))
                 ll_sum += float((weight * ll).sum())
                 ll_n += len(inverse)
                 node, code, begin, length = decoder.paths(words)
@@ -259,10 +263,8 @@ def round_scorer(shared, senses: int, lr: float, threshold: float):
                     continue
                 uniq, place, f, _ = decoder.log_sigmoids(node, vectors)
                 step_weight = np.repeat(weight, length, axis=0)
-                total = np.zeros((len(uniq), len(ks)))
-                ones = np.zeros((len(uniq), len(ks)))
-                np.add.at(total, place, step_weight)
-                np.add.at(ones, place, step_weight * code[:, None])
+                total = sum_by(place, step_weight, len(uniq))
+                ones = sum_by(place, step_weight * code[:, None], len(uniq))
                 pull = total - ones - total / (1.0 + np.exp(-f))
                 in_grad = pull.T @ decoder.out[uniq].astype(np.float64)
                 out_grad[uniq] += pull @ vectors
