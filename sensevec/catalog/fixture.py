@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.mixer import uniform
-from ..functions.text import simple_tokenize
+from ..functions.text import simple_words
 from ..operators import context as C
 from ..operators import model as M
 from ..operators import vocab as V
 from ..operators.huffman import huffman_tree
 from ..operators.score import broadcast_decoder
 from ..session import materialize
-from ..sources.corpus import scan_simple_tokens, scan_words
+from ..sources.corpus import read_documents, scan_simple_tokens, scan_words, spread
 
 MIN_FREQ = 20
 WINDOW = 4
@@ -48,7 +48,7 @@ class Fixture:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def documents(self) -> DataFrame:
-        return self.table("documents").select("doc_id", "text")
+        return read_documents(self.spark, f"{self.folder}/documents.parquet", "doc_id", "text")
 
     def words(self) -> DataFrame:
         return scan_simple_tokens(self.documents())
@@ -115,10 +115,9 @@ class Fixture:
     def decoder(self) -> Broadcast | None:
         return broadcast_decoder(self.model)
 
-    def instances(self) -> DataFrame:
-        """The middle word of every document as a target between its left and right text."""
-        ws = F.split(simple_tokenize(F.col("text")), " ")
-        docs = self.documents().select("doc_id", ws.alias("ws")).filter(F.col("ws")[0] != "")
+    @cached_property
+    def _instances(self) -> DataFrame:
+        docs = self.documents().select("doc_id", simple_words(F.col("text")).alias("ws")).filter(F.col("ws")[0] != "")
         docs = docs.withColumn("m", ((F.size("ws") + 1) / 2).cast("int"))
         return docs.select(
             "doc_id",
@@ -130,6 +129,14 @@ class Fixture:
             "ws",
         )
 
+    @cached_property
+    def instance_table(self) -> DataFrame:
+        return materialize(self._instances, "instances")
+
+    def instances(self) -> DataFrame:
+        """The middle word of every document as a target between its left and right text."""
+        return spread(self.instance_table)
+
     def nested(self) -> DataFrame:
         """Word, senses, contexts as nested records; the language of the document is the true sense."""
         lang = self.table("documents").select("doc_id", "lang")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The ASCII character classes of the simple tokeniser.
+# ASCII character classes. What the simple tokeniser deletes is all but white space and printables.
 SPACE = r" \t\n\x0B\f\r"
-PUNCT = r"!-/:-@\[-`{-~"
 NON_ASCII = r"[^\x00-\x7F]"
+DELETED = r"[^\x09-\x0D\x20-\x7E]+"
 
 
 def strip_non_ascii(col: Column) -> Column:
@@ -24,15 +24,22 @@ def is_blank(col: Column) -> Column:
     return col.rlike(r"\A[ \t]*\z")
 
 
-def simple_tokenize(col: Column) -> Column:
-    """Lower-cased ASCII words separated by one space.
+def _letters_and_gaps(col: Column) -> Column:
+    """Lower-cased ASCII without control characters: letters, digits, punctuation and white space are left.
 
     Non-ASCII characters go first, so that folding case never turns one of them into ASCII.
     """
-    text = F.lower(strip_non_ascii(col))
-    text = F.regexp_replace(text, f"[{PUNCT}{SPACE}]+", " ")
-    text = F.regexp_replace(text, "[^a-z0-9 ]", "")
-    return F.trim(F.regexp_replace(text, " +", " "))
+    return F.lower(F.regexp_replace(col, DELETED, ""))
+
+
+def simple_tokenize(col: Column) -> Column:
+    """Lower-cased ASCII words separated by one space."""
+    return F.trim(F.regexp_replace(_letters_and_gaps(col), "[^a-z0-9]+", " "))
+
+
+def simple_words(col: Column) -> Column:
+    """The words of :func:`simple_tokenize`; the empty text gives one empty word."""
+    return F.split(simple_tokenize(col), " ")
 
 
 def split_words(col: Column) -> Column:

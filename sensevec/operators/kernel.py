@@ -22,6 +22,7 @@ class Decoder:
 
     def __init__(self, out: np.ndarray, start: np.ndarray, node: np.ndarray, code: np.ndarray):
         self.out, self.start, self.node, self.code = out, start, node, code
+        self.wide: np.ndarray | None = None
 
     def paths(self, words: np.ndarray):
         """Flattened steps of the paths of ``words`` and where each path begins."""
@@ -31,11 +32,17 @@ class Decoder:
         step = np.arange(length.sum()) - np.repeat(begin - first, length)
         return self.node[step], self.code[step], begin, length
 
-    def log_sigmoids(self, nodes: np.ndarray, vectors: np.ndarray):
-        """For every distinct node: ``f`` and ``log sigmoid(f)`` per sense; once per node, not per step."""
+    def scores(self, nodes: np.ndarray, vectors: np.ndarray):
+        """``f`` per distinct node and sense, with the node of each row and the row of each step.
+
+        A list of steps about as long as the tree is answered from all nodes, a short one from those it names.
+        """
+        if len(nodes) * 2 >= len(self.out):
+            if self.wide is None:
+                self.wide = self.out.astype(np.float64)
+            return None, nodes, self.wide @ vectors.T
         uniq, inverse = np.unique(nodes, return_inverse=True)
-        f = self.out[uniq].astype(np.float64) @ vectors.T
-        return uniq, inverse, f, np.minimum(f, 0.0) - np.log1p(np.exp(-np.abs(f)))
+        return uniq, inverse, self.out[uniq].astype(np.float64) @ vectors.T
 
     def loglik(self, vectors: np.ndarray, words: np.ndarray) -> np.ndarray:
         """``log p(word | sense)`` with one row per word and one column per vector."""
@@ -45,11 +52,12 @@ class Decoder:
             node, code, begin, length = self.paths(part)
             if not len(node):
                 continue
-            _, inverse, f, ls = self.log_sigmoids(node, vectors)
-            # log sigmoid(-f) = log sigmoid(f) - f
-            steps = ls[inverse] - code[:, None] * f[inverse]
+            _, row, f = self.scores(node, vectors)
+            ls = np.minimum(f, 0.0) - np.log1p(np.exp(-np.abs(f)))
+            # log sigmoid(-f) = log sigmoid(f) - f, so one table serves both branches
+            both = np.concatenate([ls, ls - f])
             has = length > 0
-            out[at : at + CHUNK][has] = np.add.reduceat(steps, begin[has], axis=0)
+            out[at : at + CHUNK][has] = np.add.reduceat(both[row + code * np.int64(len(f))], begin[has], axis=0)
         return out
 
 
@@ -261,7 +269,8 @@ def round_scorer(shared, senses: int, lr: float, threshold: float):
                 node, code, begin, length = decoder.paths(words)
                 if not len(node):
                     continue
-                uniq, place, f, _ = decoder.log_sigmoids(node, vectors)
+                uniq, place, f = decoder.scores(node, vectors)
+                uniq = np.arange(size) if uniq is None else uniq
                 step_weight = np.repeat(weight, length, axis=0)
                 total = sum_by(place, step_weight, len(uniq))
                 ones = sum_by(place, step_weight * code[:, None], len(uniq))

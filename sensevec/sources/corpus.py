@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import simple_tokenize, split_words
+from ..functions.text import simple_words, split_words
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a file scan to all cores when it has fewer splits than there are cores.
+
+    A corpus of many files is left as it is; this is for one small file with one row group, whose tokenisation would
+    otherwise run in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+
+
+def read_documents(spark: SparkSession, path: str, *cols: str) -> DataFrame:
+    """Parquet documents, only the named columns."""
+    docs = spark.read.parquet(path)
+    return spread(docs.select(*cols) if cols else docs)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -15,14 +31,16 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_words(docs: DataFrame, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:
+def _exploded(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words).alias("p", "word"))
+    return rows.select("doc_id", (F.col("p") + 1).alias("pos"), "word")
+
+
+def scan_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, pos, word)`` of every non-blank word, ``pos`` counting from 1 within a document."""
-    column = F.col(text) if isinstance(text, str) else text
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(split_words(column)).alias("p", "word")).select(
-        "doc_id", (F.col("p") + 1).alias("pos"), "word"
-    )
+    return _exploded(docs, id_col, split_words(F.col(text)))
 
 
 def scan_simple_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """:func:`scan_words` over simply tokenised text."""
-    return scan_words(docs, id_col, simple_tokenize(F.col(text)))
+    return _exploded(docs, id_col, simple_words(F.col(text))).filter("word <> ''")
