@@ -461,12 +461,11 @@ def _wide_posterior(z: DataFrame) -> DataFrame:
 
 @query
 def train_posterior(f: Fixture) -> DataFrame:
-    return _wide_posterior(R.train_posteriors(materialize(f.occurrences(), "occurrences"), f.model, f.decoder))
+    return _wide_posterior(R.train_posteriors(f.occurrences(), f.model, f.decoder))
 
 
 def _round(f: Fixture) -> DataFrame:
-    occurrences = materialize(f.occurrences(), "occurrences")
-    return R.model_sums(occurrences, f.model, LR, THRESHOLD, f.decoder)
+    return R.model_sums(f.occurrences(), f.model, LR, THRESHOLD, f.decoder)
 
 
 @query
@@ -531,13 +530,12 @@ def round_metrics(f: Fixture) -> DataFrame:
 
 @query
 def disambiguate(f: Fixture) -> DataFrame:
-    return _wide_posterior(S.disambiguate(materialize(f.occurrences(), "occurrences"), f.model, decoder=f.decoder))
+    return _wide_posterior(S.disambiguate(f.occurrences(), f.model, decoder=f.decoder))
 
 
 @query
 def disambiguate_no_prior(f: Fixture) -> DataFrame:
-    occurrences = materialize(f.occurrences(), "occurrences")
-    return _wide_posterior(S.disambiguate(occurrences, f.model, use_prior=False, decoder=f.decoder))
+    return _wide_posterior(S.disambiguate(f.occurrences(), f.model, use_prior=False, decoder=f.decoder))
 
 
 @query
@@ -604,8 +602,7 @@ def sense_inventory(f: Fixture) -> DataFrame:
 
 @query
 def argmax_sense(f: Fixture) -> DataFrame:
-    occurrences = materialize(f.occurrences(), "occurrences")
-    best = S.argmax_sense(S.disambiguate(occurrences, f.model, decoder=f.decoder))
+    best = S.argmax_sense(S.disambiguate(f.occurrences(), f.model, decoder=f.decoder))
     return best.select("occ_id.*", "sense")
 
 

@@ -53,7 +53,8 @@ def _blocks(rows: DataFrame, name: str, vec) -> tuple[DataFrame, int]:
     """Rows packed into blocks of about ``BLOCK_ROWS`` vectors each."""
     count = max(1, math.ceil(rows.count() / BLOCK_ROWS))
     block = F.pmod(F.xxhash64("word_id", "sense"), F.lit(count)).cast("int")
-    packed = rows.select(block.alias("block"), F.struct("word_id", "sense", vec.alias("vec")).alias("e"))
+    entry = F.struct(F.col("word_id").cast("bigint").alias("word_id"), F.col("sense").cast("int").alias("sense"), vec.alias("vec"))
+    packed = rows.select(block.alias("block"), entry.alias("e"))
     return packed.groupBy("block").agg(F.collect_list("e").alias(name)), count
 
 

@@ -161,8 +161,12 @@ def word_side(model: SenseModel, prior: str, min_prob: float = 1e-3) -> DataFram
     return vecs.join(start_scores(model, prior, min_prob), "word_id").withColumnRenamed("word_id", "x")
 
 
-def slice_occurrences(occurrences: DataFrame, count=None) -> DataFrame:
-    """``(x, occs)`` groups of bounded size from ``(occ_id, x, ctx)`` rows."""
+def slice_occurrences(occurrences: DataFrame) -> DataFrame:
+    """``(x, occs)`` groups of bounded size from ``(occ_id, x, ctx)`` rows.
+
+    A ``freq`` column with the number of rows of the word, or more, spares counting them.
+    """
+    count = F.col("freq") if "freq" in occurrences.columns else None
     cut = sliced(occurrences, "x", ["occ_id"], SLICE_ROWS, count)
     return cut.groupBy("x", "slice").agg(F.collect_list(F.struct("occ_id", "ctx")).alias("occs")).drop("slice")
 

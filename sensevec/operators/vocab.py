@@ -96,8 +96,10 @@ def lookup_words(words: DataFrame, vocab: DataFrame, cols: tuple[str, ...] = ("w
     if at_most(vocab, BROADCAST_WORDS):
         return words.join(F.broadcast(side), "word")
     # the salt follows the whole row, so a repeated task draws the same one
-    salt = F.pmod(F.xxhash64(*[c for c in words.columns if c != "word"]), F.lit(SALTS))
-    salted = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    others = [c for c in words.columns if c != "word"]
+    salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)) if others else F.lit(0).cast("bigint")
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    salted = side.withColumn("salt", F.explode(every))
     return words.withColumn("salt", salt).join(salted, ["word", "salt"]).drop("salt")
 
 
