@@ -24,29 +24,45 @@ BROADCAST_BYTES = 256 << 20
 SLICE_ROWS = 1024
 
 
-def broadcast_decoder(model: SenseModel, limit: int = BROADCAST_BYTES) -> Broadcast | None:
-    """Node vectors and paths for the tasks, or None when they would exceed ``limit`` bytes."""
+def fits_broadcast(model: SenseModel, limit: int | None = None) -> bool:
+    """Whether node vectors and paths stay below ``limit`` bytes, from the number of words."""
     words = model.vocab.count()
     steps = words * (math.log2(words + 2) + 2)
-    if words * model.dim * 4 + steps * 5 > limit:
+    return words * model.dim * 4 + steps * 5 <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def broadcast_decoder(
+    model: SenseModel, limit: int | None = None, paths: tuple[np.ndarray, ...] | None = None
+) -> Broadcast | None:
+    """Node vectors and paths for the tasks, or None when they would exceed ``limit`` bytes.
+
+    ``paths`` are those of an earlier call: they stay the same while the vectors change.
+    """
+    if not fits_broadcast(model, limit):
         return None
-    return model.vocab.sparkSession.sparkContext.broadcast(collect_decoder(model, words))
+    start, node, code = paths or collect_paths(model)
+    # plain arrays, because workers need not have this package
+    return model.vocab.sparkSession.sparkContext.broadcast((collect_nodes(model, len(start) - 1), start, node, code))
 
 
-def collect_decoder(model: SenseModel, words: int) -> tuple[np.ndarray, ...]:
-    """The arrays of a :class:`kernel.Decoder`; plain arrays, because workers need not have this package."""
+def collect_nodes(model: SenseModel, size: int) -> np.ndarray:
+    """Node vectors by id."""
     nodes = model.out_vec.select("node_id", "vec").toArrow()
-    out = np.zeros((words + 1, model.dim), dtype=np.float32)
+    out = np.zeros((size, model.dim), dtype=np.float32)
     if nodes.num_rows:
         flat = nodes.column("vec").combine_chunks().flatten().to_numpy()
         out[nodes.column("node_id").to_numpy()] = flat.reshape(-1, model.dim)
+    return out
+
+
+def collect_paths(model: SenseModel) -> tuple[np.ndarray, ...]:
+    """Where the path of each word starts, and the nodes and codes of all paths."""
     tree = model.tree.select("word_id", "depth", "node_id", "code").toArrow()
     word, depth = tree.column("word_id").to_numpy(), tree.column("depth").to_numpy()
     order = np.lexsort((depth, word))
-    start = np.zeros(words + 2, dtype=np.int64)
+    start = np.zeros(model.vocab.count() + 2, dtype=np.int64)
     np.add.at(start, word + 1, 1)
-    start = np.cumsum(start)
-    return out, start, tree.column("node_id").to_numpy()[order], tree.column("code").to_numpy()[order]
+    return np.cumsum(start), tree.column("node_id").to_numpy()[order], tree.column("code").to_numpy()[order]
 
 
 def _pair_rows(pairs: DataFrame, model: SenseModel, with_prior: bool) -> DataFrame:

@@ -96,8 +96,6 @@ def occurrences(spark):
 def joined(monkeypatch):
     """Make every operator believe that the model is too large for a broadcast."""
     monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
-    for fn in (S.broadcast_decoder,):
-        monkeypatch.setattr(fn, "__defaults__", (0,))
 
 
 @pytest.mark.parametrize("x", [0.1, 0.5, 1.0, 3.3, 10.0, 1e6])
