@@ -93,71 +93,92 @@ def list_column(values: np.ndarray, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * width, flat)
 
 
-def runs_of(keys: np.ndarray):
-    """``(start, end)`` of every run of equal keys."""
-    if not len(keys):
-        return []
-    cut = np.flatnonzero(np.diff(keys)) + 1
-    return zip(np.r_[0, cut], np.r_[cut, len(keys)])
-
-
 def lists_of(column: pa.Array):
     """Offsets and flat values of a list column, aware of slicing."""
     offsets = column.offsets.to_numpy()
     return offsets - offsets[0], column.flatten()
 
 
-def pair_scorer(shared, senses: int, min_prob: float | None):
-    """Kernel over rows sorted by ``(x, kind)``: first the sense vectors of ``x``, then its partners.
+def scored_rows(decoder: Decoder, batch: pa.RecordBatch):
+    """For every ``(vecs, pi, ps)`` row: its number, senses, their priors, partners, counts and log-likelihoods."""
+    vecs, pis = batch.column("vecs"), batch.column("pi")
+    offsets, pairs = lists_of(batch.column("ps"))
+    y, n = pairs.field("y").to_numpy(), pairs.field("n").to_numpy()
+    for r in range(batch.num_rows):
+        a, b = offsets[r], offsets[r + 1]
+        ks, vectors = sense_matrix(vecs[r])
+        yield r, ks, np.asarray(pis[r].values)[ks], y[a:b], n[a:b], decoder.loglik(vectors, y[a:b])
+
+
+def log_mixture(ll: np.ndarray, prior: np.ndarray, min_prob: float) -> np.ndarray | None:
+    """``log sum_k prior_k exp(ll_k)`` per row over the senses that matter; None if there is none."""
+    use = prior >= min_prob
+    if not use.any():
+        return None
+    terms = ll[:, use] + np.log(prior[use])
+    top = terms.max(axis=1)
+    return top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
+
+
+def _pair_columns(batch: pa.RecordBatch, rows: list) -> list:
+    """``x, y, n`` columns of the partners in ``rows`` of ``(row number, y, n)``."""
+    xs = batch.column("x").to_numpy()
+    x = np.concatenate([np.full(len(y), xs[r], dtype=np.int32) for r, y, _ in rows])
+    return [pa.array(x), pa.array(np.concatenate([y for _, y, _ in rows])), pa.array(np.concatenate([n for _, _, n in rows]))]
 
-    Rows are ``(x, kind, y, n, p, vec)``; for ``kind`` 0, ``y`` is the sense and ``p`` its prior.  Emits the
-    array of log-likelihoods per pair or, with ``min_prob``, their prior-weighted log-sum.
-    """
+
+def pair_scorer(shared, senses: int):
+    """Kernel over packed pairs; emits the array of log-likelihoods per pair."""
 
     def run(batches):
         decoder = Decoder(*shared.value)
-        current, ks, ps, vecs = None, [], [], []
         for batch in batches:
-            xs = batch.column("x").to_numpy()
-            kind = batch.column("kind").to_numpy()
-            y = batch.column("y").to_numpy()
-            n = batch.column("n").to_numpy()
-            p = batch.column("p").to_numpy(zero_copy_only=False)
-            vec = batch.column("vec")
-            keep, results = [], []
-            for a, b in runs_of(xs):
-                if xs[a] != current:
-                    current, ks, ps, vecs = xs[a], [], [], []
-                pairs = a + int(np.searchsorted(kind[a:b], 1))
-                for r in range(a, pairs):
-                    ks.append(int(y[r]) - 1)
-                    ps.append(p[r])
-                    vecs.append(np.asarray(vec[r].values, dtype=np.float64))
-                if pairs == b or not vecs:
-                    continue
-                order = np.argsort(ks)
-                ll = decoder.loglik(np.array(vecs)[order], y[pairs:b])
-                cols = np.array(ks)[order]
-                if min_prob is None:
-                    full = np.full((b - pairs, senses), -np.inf)
-                    full[:, cols] = ll
-                    results.append(full)
-                else:
-                    prior = np.array(ps)[order]
-                    use = prior >= min_prob
-                    if not use.any():
-                        continue
-                    terms = ll[:, use] + np.log(prior[use])
-                    top = terms.max(axis=1)
-                    results.append(top + np.log(np.exp(terms - top[:, None]).sum(axis=1)))
-                keep.append(np.arange(pairs, b))
-            if not keep:
-                continue
-            at = np.concatenate(keep)
-            value = np.concatenate(results)
-            column = list_column(value, senses) if min_prob is None else pa.array(value)
+            rows, results = [], []
+            for r, ks, _, y, n, ll in scored_rows(decoder, batch):
+                full = np.full((len(y), senses), -np.inf)
+                full[:, ks] = ll
+                rows.append((r, y, n))
+                results.append(full)
+            if rows:
+                columns = [*_pair_columns(batch, rows), list_column(np.concatenate(results), senses)]
+                yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "n", "ll"])
+
+    return run
+
+
+def pair_valuer(shared, min_prob: float):
+    """Kernel over packed pairs; emits the prior-weighted log-probability per pair."""
+
+    def run(batches):
+        decoder = Decoder(*shared.value)
+        for batch in batches:
+            rows, results = [], []
+            for r, _, prior, y, n, ll in scored_rows(decoder, batch):
+                value = log_mixture(ll, prior, min_prob)
+                if value is not None:
+                    rows.append((r, y, n))
+                    results.append(value)
+            if rows:
+                columns = [*_pair_columns(batch, rows), pa.array(np.concatenate(results))]
+                yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "n", "v"])
+
+    return run
+
+
+def pair_averager(shared, min_prob: float):
+    """Kernel over packed pairs; emits one count-weighted mean per row."""
+
+    def run(batches):
+        decoder = Decoder(*shared.value)
+        for batch in batches:
+            means, sizes = [], []
+            for _, _, prior, _, n, ll in scored_rows(decoder, batch):
+                value = log_mixture(ll, prior, min_prob)
+                if value is not None and n.sum() > 0:
+                    sizes.append(int(n.sum()))
+                    means.append(float(value @ n) / sizes[-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(xs[at]), pa.array(y[at]), pa.array(n[at]), column], names=["x", "y", "n", "score"]
+                [pa.array(means, pa.float64()), pa.array(sizes, pa.int64())], names=["mean", "n"]
             )
 
     return run

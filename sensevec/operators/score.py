@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.priors import expected_logpi, expected_pi
 from ..functions.vectors import dot, log_or_neg_inf, log_sigmoid, softmax, weighted_logsumexp
-from .kernel import pair_scorer, posterior_scorer
+from .kernel import pair_averager, pair_scorer, pair_valuer, posterior_scorer
 from .model import SenseModel, sense_priors
 from .skew import sliced
 
 BROADCAST_BYTES = 256 << 20
 SLICE_ROWS = 1024
+PARTNERS = 65_536
 
 
 def fits_broadcast(model: SenseModel, limit: int | None = None) -> bool:
@@ -65,28 +66,19 @@ def collect_paths(model: SenseModel) -> tuple[np.ndarray, ...]:
     return np.cumsum(start), tree.column("node_id").to_numpy()[order], tree.column("code").to_numpy()[order]
 
 
-def _pair_rows(pairs: DataFrame, model: SenseModel, with_prior: bool) -> DataFrame:
-    """Sense vectors and pairs in one stream, sorted so that the vectors of a word precede its pairs."""
-    vectors = model.in_vec.select(F.col("word_id").alias("x"), "sense", "vec")
-    if with_prior:
-        prior = sense_priors(model).select(F.col("word_id").alias("x"), F.posexplode("pi").alias("k", "p"))
-        vectors = vectors.join(prior.select("x", (F.col("k") + 1).alias("sense"), "p"), ["x", "sense"])
-    else:
-        vectors = vectors.withColumn("p", F.lit(1.0))
-    vectors = vectors.select(
-        "x", F.lit(0).alias("kind"), F.col("sense").alias("y"), F.lit(0).cast("bigint").alias("n"), "p", "vec"
-    )
+def packed_pairs(pairs: DataFrame, model: SenseModel) -> DataFrame:
+    """``(x, vecs, pi, ps)``: the partners of a word as one array beside its sense vectors and priors.
+
+    Pairs are distinct, so a word has at most V partners; a large vocabulary is cut into slices of
+    about ``PARTNERS`` words, which bounds the array.
+    """
     n = F.col("n") if "n" in pairs.columns else F.lit(1).cast("bigint")
-    rows = pairs.select(
-        "x",
-        F.lit(1).alias("kind"),
-        "y",
-        n.alias("n"),
-        F.lit(0.0).alias("p"),
-        F.lit(None).cast("array<float>").alias("vec"),
-    )
-    # distinct pairs: one word has at most V of them, and they stream through the task
-    return vectors.unionByName(rows).repartition("x").sortWithinPartitions("x", "kind")
+    slices = max(1, math.ceil(model.vocab.count() / PARTNERS))
+    rows = pairs.select("x", F.pmod("y", F.lit(slices)).alias("slice"), F.struct("y", n.alias("n")).alias("p"))
+    packed = rows.groupBy("x", "slice").agg(F.collect_list("p").alias("ps"))
+    vecs = model.in_vec.groupBy("word_id").agg(F.collect_list(F.struct("sense", "vec")).alias("vecs"))
+    side = vecs.join(sense_priors(model), "word_id").withColumnRenamed("word_id", "x")
+    return packed.join(side, "x").select("x", "vecs", "pi", "ps")
 
 
 def pair_loglik(pairs: DataFrame, model: SenseModel, decoder: Broadcast | None = None) -> DataFrame:
@@ -97,11 +89,9 @@ def pair_loglik(pairs: DataFrame, model: SenseModel, decoder: Broadcast | None =
     decoder = decoder or broadcast_decoder(model)
     if decoder is None:
         return pair_loglik_joined(pairs, model)
-    rows = _pair_rows(pairs, model, with_prior=False)
-    scored = rows.mapInArrow(
-        pair_scorer(decoder, model.senses, None), "x int, y int, n bigint, score array<double>"
+    return packed_pairs(pairs, model).mapInArrow(
+        pair_scorer(decoder, model.senses), "x int, y int, n bigint, ll array<double>"
     )
-    return scored.withColumnRenamed("score", "ll")
 
 
 def node_scores(pairs: DataFrame, model: SenseModel) -> DataFrame:
@@ -266,17 +256,21 @@ def pair_values(
         priors = sense_priors(model).withColumnRenamed("word_id", "x")
         v = weighted_logsumexp(F.col("ll"), F.col("pi"), min_prob)
         return scored.join(priors, "x").select("x", "y", "n", v.alias("v"))
-    rows = _pair_rows(pairs, model, with_prior=True)
-    return rows.mapInArrow(
-        pair_scorer(decoder, model.senses, min_prob), "x int, y int, n bigint, score double"
-    ).withColumnRenamed("score", "v")
+    return packed_pairs(pairs, model).mapInArrow(
+        pair_valuer(decoder, min_prob), "x int, y int, n bigint, v double"
+    )
 
 
 def likelihood(
     pairs: DataFrame, model: SenseModel, min_prob: float = 1e-5, decoder: Broadcast | None = None
 ) -> DataFrame:
     """``(mean, n)`` over counted pairs ``(x, y, n)``; no pairs give ``(0, 0)``."""
-    return weighted_mean(pair_values(pairs, model, min_prob, decoder))
+    decoder = decoder or broadcast_decoder(model)
+    if decoder is None:
+        return weighted_mean(pair_values(pairs, model, min_prob))
+    # only one mean per packed row leaves the tasks
+    means = packed_pairs(pairs, model).mapInArrow(pair_averager(decoder, min_prob), "mean double, n bigint")
+    return merge_means(means)
 
 
 def weighted_mean(values: DataFrame, *keys: str) -> DataFrame:

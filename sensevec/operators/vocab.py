@@ -43,11 +43,10 @@ def assign_ids(counts: DataFrame, remove_top_k: int = 0) -> DataFrame:
     once or twice make up most of a vocabulary.  The numbered ranges are written out first, so the
     two reads below see the same ones.
     """
-    spark = counts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col("freq").desc(), F.col("word").asc()]
     numbered = counts.select("word", F.col("freq").cast("bigint").alias("freq"))
-    numbered = numbered.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    # no fixed number of ranges: neighbours may be merged at run time, which keeps their order
+    numbered = numbered.repartitionByRange(*keys).sortWithinPartitions(*keys)
     row = F.monotonically_increasing_id()
     numbered = materialize(
         numbered.select(
@@ -58,7 +57,7 @@ def assign_ids(counts: DataFrame, remove_top_k: int = 0) -> DataFrame:
         ),
         "ranked",
     )
-    # one row per range: as many as there are shuffle partitions
+    # one row per range, at most as many as there are shuffle partitions
     sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))
     earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
