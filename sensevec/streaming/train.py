@@ -11,6 +11,7 @@ from ..operators.model import SenseModel
 from ..operators.score import broadcast_decoder, slice_occurrences
 from ..operators.vocab import lookup_words
 from ..plans.train import STATE_SCHEMA, TrainParams, model_of, next_state, occurrences, state_rows, state_side
+from ..session import materialize
 from ..sources.corpus import scan_words
 
 
@@ -43,7 +44,8 @@ class StreamTrainer:
         """Round ``batch_id`` starts from the version before it, never from a half-done one."""
         params = self.params
         state, read = self.state(batch_id - 1), self.words_read(batch_id - 1)
-        tokens = lookup_words(scan_words(docs), self.model.vocab).select("doc_id", "pos", "word_id", "freq")
+        kept = lookup_words(scan_words(docs), self.model.vocab).select("doc_id", "pos", "word_id", "freq")
+        tokens = materialize(kept, "batch-tokens")
         occ = occurrences(tokens, params).select("occ_id", "x", "ctx")
         lr = R.learning_rate_at(read, self.total, params.start_lr)
         current = self.model_at(batch_id - 1)
@@ -61,6 +63,8 @@ class StreamTrainer:
                 params.sense_threshold,
             )
         self._write(next_state(state, sums, params.cap, lr), batch_id, read + tokens.count())
+        if decoder is not None:
+            decoder.destroy()
 
     def start(self, docs: DataFrame, checkpoint: str) -> StreamingQuery:
         return (
