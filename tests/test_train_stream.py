@@ -37,9 +37,13 @@ def corpus(spark):
 
 
 @pytest.fixture(scope="module")
-def trained(corpus):
+def trained(spark, corpus):
+    # a hundred rounds over a small corpus: few tasks per round keep the test short
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     params = TrainParams(dim=20, senses=5, min_freq=1, epochs=20, rounds=5, cap=250.0)
-    return train(corpus.select("doc_id", "text"), params)
+    runner = train(corpus.select("doc_id", "text"), params)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    return runner
 
 
 def test_planted_senses_are_found(spark, trained):
