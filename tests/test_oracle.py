@@ -6,8 +6,11 @@ import pytest
 
 import __spark_entry__ as spark_entry
 
-QUERIES = spark_entry.queries()
-ORACLES = spark_entry.oracle_sql()
+from sensevec.catalog.oracle import all_oracles
+from sensevec.catalog.queries import all_queries
+
+QUERIES = all_queries()
+ORACLES = all_oracles()
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -42,5 +45,10 @@ def test_query_matches_sql(spark, duck, folder, name):
     pd.testing.assert_frame_equal(found, wanted, check_dtype=False, rtol=0, atol=1.5e-5)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(spark_entry.queries())
+    assert set(ORACLES) <= set(spark_entry.oracle_sql())
+
+
 def test_entry(spark):
     assert spark_entry.entry(spark).count() > 0
