@@ -47,3 +47,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
+
+
+def all_oracles() -> dict[str, str]:
+    return {}
