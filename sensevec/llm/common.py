@@ -45,7 +45,8 @@ def running_total(
     """
     spark = df.sparkSession
     wanted = float(SLICES_PER_PARTITION * shuffle_partitions(spark))
-    share = rows.select(F.col(group), (F.col("n_rows") / F.sum("n_rows").over(W.partitionBy(F.lit(0)))).alias("__share"))
+    total = rows.agg(F.sum("n_rows")).first()[0] or 1
+    share = rows.select(F.col(group), (F.col("n_rows") / F.lit(total)).alias("__share"))
     cut = df.join(share, group).withColumn("__slice", F.floor(spread * F.ceil(F.col("__share") * F.lit(wanted))))
     cut = cut.drop("__share")
     totals = cut.groupBy(group, "__slice").agg(F.sum(value).alias("__total"))
