@@ -43,11 +43,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that this library wrote."""
-    if not path.startswith(work_dir(spark)):
+    """Delete an intermediate table that this library wrote: a folder inside the work folder, with or without a scheme."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target, root = hadoop(path), hadoop(work_dir(spark))
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    target, root = system.makeQualified(target), system.makeQualified(root)
+    if not target.toString().startswith(root.toString().rstrip("/") + "/"):
         raise ValueError(f"not an intermediate table: {path}")
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    system.delete(target, True)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
