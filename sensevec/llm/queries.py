@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, chat, mixing, secrets, sharding, simhash, warc
+from . import bpe, chat, langid, mixing, neighbours, secrets, sharding, simhash, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +39,17 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(langid.fold() != 2))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (langid.fold() == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
