@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, chat, langid, mixing, neighbours, secrets, sharding, simhash, warc
+from . import bpe, chat, langid, mixing, near_text, neighbours, secrets, sharding, simhash, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,6 +31,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op3_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
