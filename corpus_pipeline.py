@@ -29,8 +29,8 @@ def clean_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, better labelled ones first; the last of a source may be cut."""
     columns = docs.columns
-    weighted = mixing.quality_weights(docs, table(spark, sf_dir, "labels"))
-    return mixing.mixed_documents(docs, mixing.mix(weighted)).select(*columns)
+    taken = mixing.mix(docs, labels=table(spark, sf_dir, "labels"))
+    return mixing.mixed_documents(docs, taken).select(*columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,11 +73,13 @@ def row_key() -> Column:
     return F.md5(F.concat_ws("|", *parts, F.md5(whole_text().cast("binary"))).cast("binary"))
 
 
-def mix(docs: DataFrame, sources: DataFrame | None = None, seed: str = SEED) -> DataFrame:
+def mix(
+    docs: DataFrame, sources: DataFrame | None = None, labels: DataFrame | None = None, seed: str = SEED
+) -> DataFrame:
     """``(doc_id, source, size, source_size, target, epochs, taken, row_key)`` for each row of ``docs``.
 
-    ``docs`` has ``doc_id, text, source`` and, if wanted, ``sample_weight`` (positive; null or absent: 1).  A source
-    whose target is t takes ``floor(t / source_size)`` whole epochs first.  The rest of the target is filled in the
+    ``docs`` has ``doc_id, text, source`` and, if wanted, ``sample_weight`` (positive; null or absent: 1);
+    ``labels (doc_id, quality)`` give weights in its place.  A source whose target is t takes ``floor(t / source_size)`` whole epochs first.  The rest of the target is filled in the
     order of the keys ``-ln(u) / sample_weight``, smallest first, up to the exact word: the document at the border gives its
     first words only.  ``u`` hashes id, source and text, so reruns agree whatever the partitions; equal rows are
     interchangeable.  A null text has size 0 and is never taken; null is a source of its own.  ``sources`` may bring
@@ -92,10 +94,12 @@ def mix(docs: DataFrame, sources: DataFrame | None = None, seed: str = SEED) ->
         word_count(whole_text()).alias("size"),
         row_key().alias("row_key"),
         weight.alias("__w"),
-        (-F.log(uniform(F.lit(seed), row_key())) / weight).alias("__key"),
+        uniform(F.lit(seed), row_key()).alias("__u"),
         F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("__group"),
     )
-    narrow = materialize(narrow, "mix")
+    if labels is not None:  # the texts stay where they are, only these narrow rows are joined
+        narrow = quality_weights(materialize(narrow, "mix"), labels)
+    narrow = materialize(narrow.withColumn("__key", -F.log("__u") / F.col("__w")).drop("__u"), "mix")
     sums = narrow.groupBy("__group", "source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("n_rows"), F.avg("__w").alias("__mean")
     )
@@ -126,13 +130,13 @@ def mix(docs: DataFrame, sources: DataFrame | None = None, seed: str = SEED) ->
     )
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``sample_weight`` by the quality label of the id; of several labels of an id the best counts."""
+def quality_weights(narrow: DataFrame, labels: DataFrame) -> DataFrame:
+    """Weights by the quality label of the id in place of ``__w``; of several labels of an id the best counts."""
     best = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("__quality"))
     best = best.select(F.col("doc_id").alias("__labelled"), "__quality")
     weight = F.when(F.col("__quality") >= 1, GOOD).when(F.col("__quality") < 1, POOR).otherwise(UNKNOWN)
-    joined = docs.join(best, F.col("doc_id") == F.col("__labelled"), "left")
-    return joined.withColumn("sample_weight", weight).drop("__labelled", "__quality")
+    joined = narrow.join(best, F.col("doc_id") == F.col("__labelled"), "left")
+    return joined.withColumn("__w", weight).drop("__labelled", "__quality")
 
 
 def mixed_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:

@@ -27,8 +27,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.quality_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.mix(docs)
+    return mixing.mix(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op3_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
