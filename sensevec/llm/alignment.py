@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 FIRST_BAND = 16
+WIDER = 4  # times
+LOOK_EVERY = 64  # rows
 CELLS_AT_ONCE = 1 << 18
 FAR = np.int32(1 << 29)
 
@@ -22,8 +24,11 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(n_a, np.where(other[where] == both, n_b[where], 0)).sum())
 
 
-def banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
-    """Edit distance of each pair within a band around the diagonal; a value above ``band`` only says that it is larger."""
+def banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int, limits: np.ndarray) -> np.ndarray:
+    """Edit distance of each pair within a band around the diagonal.
+
+    A value above ``band`` only says that the distance is larger.  Rows end early once every pair has passed its limit or is done.
+    """
     rows, width = max(len(a) for a, _ in pairs), 2 * band + 1
     left = np.full((len(pairs), rows), -1, np.int64)
     right = np.full((len(pairs), rows + width), -2, np.int64)
@@ -38,7 +43,7 @@ def banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
     for i in range(rows + 1):
         done = np.flatnonzero(sizes[:, 0] == i)
         found[done] = now[done, end[done]]
-        if i == rows:
+        if i == rows or i % LOOK_EVERY == 0 and not ((now.min(1) <= limits) & (sizes[:, 0] > i)).any():
             break
         new = now + (right[:, i : i + width] != left[:, i, None])
         np.minimum(new[:, :-1], now[:, 1:] + 1, out=new[:, :-1])
@@ -49,15 +54,18 @@ def banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
 def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> np.ndarray:
     """Whether each pair of sequences has ``1 - distance / longer length >= similarity``.
 
-    Lengths and common words rule pairs out first, and equal ends are cut off.  What is left is aligned in a narrow band that is
-    doubled until it holds the distance or exceeds the edits allowed.  Two empty sequences are similar.
+    Lengths and common words rule pairs out first, and equal ends are cut off.  What is left is aligned in a band that starts at
+    what the common words ask for and widens until it holds the distance or exceeds the edits allowed.  Two empty sequences are similar.
     """
     out = np.zeros(len(pairs), bool)
     todo = []
     for k, (a, b) in enumerate(pairs):
         longer, shorter = max(len(a), len(b)), min(len(a), len(b))
         limit = allowed(longer, similarity)
-        if longer - shorter > limit or shorter and longer - common_words(a, b) > limit:
+        if longer - shorter > limit:
+            continue
+        least = longer - (common_words(a, b) if shorter else 0)
+        if least > limit:
             continue
         differ = np.flatnonzero(a[:shorter] != b[:shorter])
         head = int(differ[0]) if len(differ) else shorter
@@ -68,26 +76,20 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> np
         if not len(a) or not len(b):
             out[k] = max(len(a), len(b)) <= limit
         else:
-            todo.append((len(a), k, a, b, limit))
-    band = FIRST_BAND
+            band = FIRST_BAND
+            while band < least:
+                band *= WIDER
+            todo.append((band, len(a), k, a, b, limit))
     while todo:
-        todo.sort(key=lambda x: x[0])
-        later, first = [], 0
-        while first < len(todo):
-            most = max(1, CELLS_AT_ONCE // (2 * band + 1 + todo[first][0]))
-            part = todo[first : first + most]
-            while len(part) > 1 and part[-1][0] > 2 * part[0][0] + 64:
-                part.pop()
-            first += len(part)
-            fits = [x for x in part if abs(len(x[2]) - len(x[3])) <= band]
-            later += [x for x in part if abs(len(x[2]) - len(x[3])) > band]
-            if not fits:
-                continue
-            distances = banded([(x[2], x[3]) for x in fits], band)
-            for x, distance in zip(fits, distances, strict=True):
-                if distance <= min(band, x[4]):
-                    out[x[1]] = True
-                elif distance > band and band < x[4]:
-                    later.append(x)
-        todo, band = later, 2 * band
+        todo.sort(key=lambda x: x[:2])
+        band, size = todo[0][:2]
+        most = max(1, CELLS_AT_ONCE // (2 * band + 1 + size))
+        part = [x for x in todo[:most] if x[0] == band and x[1] <= 4 * size + LOOK_EVERY]
+        todo = todo[len(part) :]
+        distances = banded([x[3:5] for x in part], band, np.array([x[5] for x in part]))
+        for (_, size, k, a, b, limit), distance in zip(part, distances, strict=True):
+            if distance <= min(band, limit):
+                out[k] = True
+            elif distance > band and band < limit:
+                todo.append((WIDER * band, size, k, a, b, limit))
     return out
