@@ -87,7 +87,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranges = min(4 * shuffle_partitions(docs.sparkSession), MOST_RANGES)
     ids = docs.select(F.col("doc_id").cast("double").alias("id")).filter("id is not null")
     cuts = ids.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.25 / ranges)
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     ranged = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)))
     ranged = Bucketizer(splits=splits, inputCol="__id", outputCol="__range").transform(ranged)
     part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("__range").cast("int"))
