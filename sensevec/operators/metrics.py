@@ -24,6 +24,7 @@ def align(truth: DataFrame, predictions: DataFrame, *datasets: str) -> DataFrame
 
 
 def _pairs(n: Column) -> Column:
+    n = n.cast("double")  # the product of two large counts does not fit a bigint
     return n * (n - 1) / F.lit(2.0)
 
 

@@ -138,5 +138,7 @@ def preprocess(
 
 
 def repeat_epochs(tokens: DataFrame, epochs: int) -> DataFrame:
-    """Every token once per epoch."""
+    """Every token once per epoch; no epochs give no rows."""
+    if epochs < 1:
+        return tokens.filter("false").withColumn("epoch", F.lit(0))
     return tokens.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
