@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import bpe, chat, langid, mixing, near_text, neighbours, secrets, sharding, simhash, warc
