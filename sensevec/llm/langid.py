@@ -21,7 +21,8 @@ MOST_LANGUAGES = 256  # the most frequent labels are learned
 ALPHABET = 4096  # symbols that the lowest order shares its rest among
 REJECT_QUANTILE, REJECT_SLACK = 0.99, 2.0
 SHARPNESS = 10.0
-POSITIONS_AT_ONCE = 1 << 20
+POSITIONS_AT_ONCE = 1 << 18
+TEXTS_AT_ONCE = 512
 UNKNOWN = "und"
 SPACE, RARE = 32, 0xFFFF
 PAD = np.full(ORDER - 1, SPACE, np.uint16)
@@ -104,18 +105,29 @@ class Model:
 
     def cross_entropy(self, texts: list[np.ndarray]) -> np.ndarray:
         """Nats per symbol of each text under each language; texts are symbol arrays that are not empty."""
-        joined = np.concatenate([x for t in texts for x in (PAD, t)])
-        lengths = np.array([len(t) for t in texts])
-        starts = np.cumsum(lengths + ORDER - 1) - lengths
-        owner = np.repeat(np.arange(len(texts)), lengths)
-        where = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
         total = np.zeros((len(texts), len(self.languages)))
-        for first in range(0, len(owner), POSITIONS_AT_ONCE):
-            part, at = owner[first : first + POSITIONS_AT_ONCE], where[first : first + POSITIONS_AT_ONCE]
-            keys = keys_of(joined[at[0] - ORDER + 1 : at[-1] + 1])[at - at[0]]
-            texts_here, begins = np.unique(part, return_index=True)
-            total[texts_here] += np.add.reduceat(self.log_probability(keys).astype(np.float64), begins)
-        return -total / lengths[:, None]
+        for owners, padded in blocks(texts):
+            lengths = np.array([len(x) - ORDER + 1 for x in padded])
+            found = self.log_probability(np.concatenate([keys_of(x) for x in padded])).astype(np.float64)
+            np.add.at(total, owners, np.add.reduceat(found, np.cumsum(lengths) - lengths))
+        return -total / np.array([len(t) for t in texts])[:, None]
+
+
+def blocks(texts: list[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Padded texts with their numbers, about POSITIONS_AT_ONCE symbols at a time; a longer text comes in overlapping pieces."""
+    owners, padded, size = [], [], 0
+    for k, text in enumerate(texts):
+        whole = np.concatenate([PAD, text])
+        for first in range(0, len(text), POSITIONS_AT_ONCE):
+            piece = whole[first : first + POSITIONS_AT_ONCE + ORDER - 1]
+            if owners and size + len(piece) > POSITIONS_AT_ONCE:
+                yield owners, padded
+                owners, padded, size = [], [], 0
+            owners.append(k)
+            padded.append(piece)
+            size += len(piece)
+    if owners:
+        yield owners, padded
 
 
 def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -210,6 +222,19 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, languages: int =
     return model
 
 
+def _entropies(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the texts that can be judged and their cross-entropies, a column per language; few texts are held unpacked."""
+    places, found = [np.zeros(0, np.int64)], [np.zeros((0, len(model.languages)))]
+    if model.languages:
+        for first in range(0, len(column), TEXTS_AT_ONCE):
+            texts = [symbols(x.as_py()) for x in column.slice(first, TEXTS_AT_ONCE)]
+            there = [k for k, x in enumerate(texts) if x is not None]
+            if there:
+                places.append(first + np.array(there))
+                found.append(model.cross_entropy([texts[k] for k in there]))
+    return np.concatenate(places), np.concatenate(found)
+
+
 def _scored(df: DataFrame, model: Model, key: str, kind: str) -> DataFrame:
     """``key, lang_pred, score, cross_entropy, rejected`` from ``(key, text)``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -217,13 +242,11 @@ def _scored(df: DataFrame, model: Model, key: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = [symbols(x.as_py()) for x in batch.column(1)]
-            there = [k for k, x in enumerate(texts) if x is not None] if model.languages else []
-            names = np.full(len(texts), UNKNOWN, object)
-            score, entropy = np.zeros(len(texts)), np.full(len(texts), np.nan)
-            rejected = np.ones(len(texts), bool)
-            if there:
-                found = model.cross_entropy([texts[k] for k in there])
+            there, found = _entropies(batch.column(1), model)
+            names = np.full(batch.num_rows, UNKNOWN, object)
+            score, entropy = np.zeros(batch.num_rows), np.full(batch.num_rows, np.nan)
+            rejected = np.ones(batch.num_rows, bool)
+            if len(there):
                 best = found.argmin(1)
                 least = found[np.arange(len(best)), best]
                 names[there] = np.array(model.languages, object)[best]
@@ -262,11 +285,9 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = [symbols(x.as_py()) for x in batch.column(at)]
-            there = [k for k, x in enumerate(texts) if x is not None] if model.languages else []
-            keep = np.zeros(len(texts), bool)
-            if there:
-                found = model.cross_entropy([texts[k] for k in there])
+            there, found = _entropies(batch.column(at), model)
+            keep = np.zeros(batch.num_rows, bool)
+            if len(there):
                 best = found.argmin(1)
                 keep[there] = found.min(1) <= model.limits[best]
             yield batch.filter(pa.array(keep))

@@ -233,6 +233,17 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(model.log_probability(every).astype(float)).sum(0) == pytest.approx([1, 1], abs=1e-3)
 
 
+def test_cross_entropy_in_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 104, n).astype(np.uint16) for n in (1, 50, 700, 3, 2000)]
+    keys = langid.keys_of(np.concatenate([langid.PAD, *texts]))
+    model = langid.fit({"a": np.unique(keys, return_counts=True), "b": np.unique(keys[:900], return_counts=True)})
+    plain = [-model.log_probability(langid.keys_of(np.concatenate([langid.PAD, t]))).astype(float).mean(0) for t in texts]
+    for size in (1 << 18, 64, 1):
+        monkeypatch.setattr(langid, "POSITIONS_AT_ONCE", size)
+        assert model.cross_entropy(texts) == pytest.approx(np.array(plain))
+
+
 def test_vectors_against_all_pairs(spark, folder):
     base = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
     rng = np.random.default_rng(4)
