@@ -292,11 +292,9 @@ RELATIONS["inst_target"] = (("inst", "vocab"), "SELECT key, instance, word_id AS
 RELATIONS |= scored_contexts("inst", "key, instance", "inst_context", "inst_target")
 RELATIONS["nested_target"] = (
     ("inst", "vocab", "prior"),
-    """SELECT word, sense, context_id, x FROM (
-        SELECT word, lang AS sense, doc_id AS context_id, word_id AS x,
-            row_number() OVER (PARTITION BY word, lang ORDER BY doc_id) AS rn
+    """SELECT word, lang AS sense, doc_id AS context_id, word_id AS x
         FROM inst JOIN vocab USING (word) JOIN prior USING (word_id)
-        WHERE vocab.freq >= 500 AND (p1 >= 0.001)::INT + (p2 >= 0.001)::INT + (p3 >= 0.001)::INT > 1) WHERE rn <= 500""",
+        WHERE vocab.freq >= 500 AND (p1 >= 0.001)::INT + (p2 >= 0.001)::INT + (p3 >= 0.001)::INT > 1""",
 )
 RELATIONS |= scored_contexts("nested", "word, sense, context_id", "nested_context", "nested_target")
 RELATIONS["nested_cells"] = (

@@ -61,6 +61,14 @@ class Decoder:
         return out
 
 
+def exact_sum(values: list[float]) -> float:
+    """Sum rounded once; NaN, infinities and overflow come out as in plain addition."""
+    try:
+        return math.fsum(values)
+    except (ValueError, OverflowError):
+        return float(sum(values))
+
+
 def task_sums(max_keys: int):
     """Running ``sum + error`` per key over a whole task, so a key leaves a task about once."""
 
@@ -74,11 +82,14 @@ def task_sums(max_keys: int):
 
         for batch in batches:
             pdf = batch.to_pandas()
-            for key, values in pdf.groupby("key", dropna=False)["value"]:
+            # pandas shows NULL as NaN, so the column itself tells them apart
+            pdf["valid"] = batch.column("value").is_valid().to_numpy(zero_copy_only=False)
+            for key, part in pdf.groupby("key", dropna=False):
                 hi, lo, n = acc.get(key, (0.0, 0.0, 0))
-                parts = [hi, lo, *values.dropna().tolist()]
-                total = math.fsum(parts)
-                acc[key] = (total, math.fsum([*parts, -total]), n + len(parts) - 2)
+                parts = [hi, lo, *part["value"][part["valid"]].tolist()]
+                total = exact_sum(parts)
+                error = exact_sum([*parts, -total]) if math.isfinite(total) else 0.0
+                acc[key] = (total, error, n + len(parts) - 2)
             if len(acc) > max_keys:
                 yield rows()
                 acc = {}

@@ -10,10 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm, unit
+from ..session import at_most
 from .kernel import top_k_scorer
+from .model import SenseModel
 
 BLOCK_ROWS = 2048
 SALTS = 16
+BROADCAST_ROWS = 1_000_000
 
 
 def candidates(in_vec: DataFrame, sense_counts: DataFrame | None = None, min_count: float = 1.0) -> DataFrame:
@@ -31,7 +34,9 @@ def nearest_to_vector(
 ) -> DataFrame:
     """Top ``k`` by ``dot(vec, query) / |vec|``; the query is not normalised."""
     if exclude is not None:
-        rows = rows.join(F.broadcast(exclude.select("word_id", "sense")), ["word_id", "sense"], "left_anti")
+        gone = exclude.select("word_id", "sense")
+        gone = F.broadcast(gone) if at_most(gone, BROADCAST_ROWS) else gone
+        rows = rows.join(gone, ["word_id", "sense"], "left_anti")
     q = F.lit([float(e) for e in query])
     scored = rows.select("word_id", "sense", (dot(F.col("vec"), q) / norm(F.col("vec"))).alias("sim"))
     # NaN would sort first in descending order
@@ -49,6 +54,15 @@ def nearest_neighbors(rows: DataFrame, word_id: int, sense: int, k: int = 10) ->
     return nearest_to_vector(others, found["u"], k)
 
 
+def nearest_words(model: SenseModel, word: str, sense: int, k: int = 10, min_count: float = 1.0) -> DataFrame:
+    """``(word, sense, sim)``: :func:`nearest_neighbors` asked with a word and answered with words."""
+    own = model.vocab.filter(F.col("word") == word).select("word_id").first()
+    if own is None:
+        raise ValueError(f"unknown word {word}")
+    found = nearest_neighbors(candidates(model.in_vec, model.sense_counts, min_count), own["word_id"], sense, k)
+    return found.join(model.vocab.select("word_id", "word"), "word_id").select("word", "sense", "sim")
+
+
 def _blocks(rows: DataFrame, name: str, vec) -> tuple[DataFrame, int]:
     """Rows packed into blocks of about ``BLOCK_ROWS`` vectors each."""
     count = max(1, math.ceil(rows.count() / BLOCK_ROWS))

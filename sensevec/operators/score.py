@@ -21,6 +21,7 @@ from .model import SenseModel, sense_priors
 from .skew import sliced
 
 BROADCAST_BYTES = 256 << 20
+SIDE_BYTES = 64 << 20
 SLICE_ROWS = 1024
 PARTNERS = 65_536
 
@@ -167,6 +168,15 @@ def word_side(model: SenseModel, prior: str, min_prob: float = 1e-3) -> DataFram
     return vecs.join(start_scores(model, prior, min_prob), "word_id").withColumnRenamed("word_id", "x")
 
 
+def checked_side(side: DataFrame, model: SenseModel) -> DataFrame:
+    """``side``, one row per word, marked for a broadcast if its vectors stay below ``SIDE_BYTES``.
+
+    The slices of a hot word then stay where they were built instead of meeting again in a shuffle by word.
+    """
+    size = model.vocab.count() * (model.senses * (model.dim + 3) + 4) * 8
+    return F.broadcast(side) if size <= SIDE_BYTES else side
+
+
 def slice_occurrences(occurrences: DataFrame) -> DataFrame:
     """``(x, occs)`` groups of bounded size from ``(occ_id, x, ctx)`` rows.
 
@@ -189,7 +199,7 @@ def posteriors(
     if decoder is None:
         return posteriors_joined(occurrences, model, prior, min_prob)
     occ_type = occurrences.schema["occ_id"].dataType.simpleString()
-    slices = slice_occurrences(occurrences).join(word_side(model, prior, min_prob), "x")
+    slices = slice_occurrences(occurrences).join(checked_side(word_side(model, prior, min_prob), model), "x")
     return slices.select("vecs", "start_z", "occs").mapInArrow(
         posterior_scorer(decoder, model.senses), f"occ_id {occ_type}, z array<double>"
     )
@@ -249,13 +259,13 @@ def argmax_sense(posterior: DataFrame) -> DataFrame:
 def pair_values(
     pairs: DataFrame, model: SenseModel, min_prob: float = 1e-5, decoder: Broadcast | None = None
 ) -> DataFrame:
-    """``(x, y, n, v)``: ``v = log sum_k pi_k p(y | x, k)`` over the senses that matter."""
+    """``(x, y, n, v)``: ``v = log sum_k pi_k p(y | x, k)`` over the senses that matter; pairs without such a sense are left out."""
     decoder = decoder or broadcast_decoder(model)
     if decoder is None:
         scored = pair_loglik_joined(pairs, model)
         priors = sense_priors(model).withColumnRenamed("word_id", "x")
         v = weighted_logsumexp(F.col("ll"), F.col("pi"), min_prob)
-        return scored.join(priors, "x").select("x", "y", "n", v.alias("v"))
+        return scored.join(priors, "x").select("x", "y", "n", v.alias("v")).filter("v is not null")
     return packed_pairs(pairs, model).mapInArrow(
         pair_valuer(decoder, min_prob), "x int, y int, n bigint, v double"
     )

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import task_sums
+from .kernel import exact_sum, task_sums
 
 MAX_KEYS = 100_000
 
@@ -25,14 +23,23 @@ def compensated_sum(df: DataFrame, key: str, value: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def exact(hi: pd.Series, lo: pd.Series) -> float:
-        return math.fsum([*hi, *lo])
+        return exact_sum([*hi, *lo])
+
+    # a NaN result would come back as NULL
+    @F.pandas_udf("boolean")
+    def undefined(hi: pd.Series, lo: pd.Series) -> bool:
+        total = exact_sum([*hi, *lo])
+        return total != total
 
     @F.pandas_udf("bigint")
     def whole(n: pd.Series) -> int:
         return int(n.sum())
 
-    sums = partial.groupBy("key").agg(exact("hi", "lo").alias("total"), whole("n").alias("n"))
-    return sums.withColumnRenamed("key", key)
+    sums = partial.groupBy("key").agg(
+        exact("hi", "lo").alias("total"), undefined("hi", "lo").alias("undefined"), whole("n").alias("n")
+    )
+    total = F.when(F.col("undefined"), F.lit(float("nan"))).otherwise(F.col("total"))
+    return sums.select(F.col("key").alias(key), total.alias("total"), "n")
 
 
 def stable_mean(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -15,7 +15,6 @@ from .score import argmax_sense, disambiguate
 from .vocab import lookup_words
 
 MIN_WORD_WEIGHT = 500
-MAX_CONTEXTS = 500
 
 
 def _nearest(words: DataFrame, window: int, keys: list[str], near: Column) -> DataFrame:
@@ -89,8 +88,10 @@ def weighted_context_words(
     return near.select("ref.*", "side", "r", "word_id")
 
 
-def capped_contexts(rows: DataFrame, limit: int = MAX_CONTEXTS) -> DataFrame:
-    """The first ``limit`` contexts of each sense, as the benchmark defines it."""
+def capped_contexts(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """The first ``limit`` contexts of each sense, or all of them."""
+    if limit is None:
+        return rows
     order = W.partitionBy("word", "sense").orderBy("context_id")
     return rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit).drop("rn")
 
@@ -111,6 +112,7 @@ def weighted_contingency(
     stop_words: DataFrame | None = None,
     min_weight: int = MIN_WORD_WEIGHT,
     decoder: Broadcast | None = None,
+    max_contexts: int | None = None,
 ) -> DataFrame:
     """``(word, truth, pred, n)`` for ambiguous, known ASCII words of enough weight.
 
@@ -119,7 +121,7 @@ def weighted_contingency(
     """
     wanted = ambiguous(model).filter("n_senses > 1").select("word_id", "word")
     rows = rows.filter((F.col("weight") >= min_weight) & ~F.lower("word").rlike(r"[^\x00-\x7F]"))
-    rows = capped_contexts(rows.withColumn("word", F.lower("word"))).join(wanted, "word")
+    rows = capped_contexts(rows.withColumn("word", F.lower("word")), max_contexts).join(wanted, "word")
     keys = ["word", "sense", "context_id"]
     ctx = _collect(weighted_context_words(rows, model.vocab, window, keys, stop_words), keys)
     empty = F.array().cast("array<int>")
@@ -138,9 +140,10 @@ def mean_ari(
     stop_words: DataFrame | None = None,
     min_weight: int = MIN_WORD_WEIGHT,
     decoder: Broadcast | None = None,
+    max_contexts: int | None = None,
 ) -> DataFrame:
     """``(words, mean_ari)``; a word with a single induced sense counts with 0."""
-    cells = weighted_contingency(rows, model, window, stop_words, min_weight, decoder)
+    cells = weighted_contingency(rows, model, window, stop_words, min_weight, decoder, max_contexts)
     per_word = totals(cells, "word").select("word", ari_column().alias("ari"), F.lit(True).alias("scored"))
     eligible = (
         rows.filter((F.col("weight") >= min_weight) & ~F.lower("word").rlike(r"[^\x00-\x7F]"))

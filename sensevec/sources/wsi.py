@@ -27,6 +27,19 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(before), "part").select((F.col("before") + F.col("row")).alias("line_no"), "value")
 
 
+def numbered_file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line_no, value)`` in the order of files and of their lines, however the files are split and dealt."""
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    rows = spark.read.text(path).select(*split, F.monotonically_increasing_id().alias("id"), "value")
+    rows = materialize(rows, "lines")
+    # one row per input split, whose ids are consecutive
+    earlier = W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = sizes.select("file", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    line = F.col("before") + F.col("id") - F.col("first")
+    return rows.join(before, ["file", "start"]).select(line.alias("line_no"), "value")
+
+
 def parse_context_lines(lines: DataFrame) -> DataFrame:
     """``(key, instance, left, right)`` from ``(line_no, value)``: a header ``key N``, then N context lines.
 
@@ -59,7 +72,7 @@ def parse_context_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_contexts(spark: SparkSession, path: str) -> DataFrame:
-    return parse_context_lines(numbered_lines(spark.read.text(path)))
+    return parse_context_lines(numbered_file_lines(spark, path))
 
 
 def answer_lines(answers: DataFrame, sense_prefix: str | None = None) -> DataFrame:

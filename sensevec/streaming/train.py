@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import train as R
 from ..operators.model import SenseModel
-from ..operators.score import broadcast_decoder, slice_occurrences
+from ..operators.score import broadcast_decoder, checked_side, slice_occurrences
 from ..operators.vocab import lookup_words
 from ..plans.train import STATE_SCHEMA, TrainParams, model_of, next_state, occurrences, state_rows, state_side
 from ..session import materialize
@@ -51,11 +50,11 @@ class StreamTrainer:
         current = self.model_at(batch_id - 1)
         decoder = broadcast_decoder(current)
         if decoder is None:
-            sums = R.round_sums_joined(occ, current, lr, params.sense_threshold).withColumn("top", F.lit(0))
+            sums = R.round_sums_joined(occ, current, lr, params.sense_threshold)
         else:
             sums = R.round_sums(
                 slice_occurrences(occ),
-                state_side(state, self.model),
+                checked_side(state_side(state, self.model), self.model),
                 decoder,
                 self.model.dim,
                 self.model.senses,

@@ -71,6 +71,16 @@ def test_compensated_sum(spark):
     assert K.stable_mean(tenth, "k", "v").first()["mean"] == math.fsum([0.1] * 100_000) / 100_000
 
 
+def test_sums_keep_nan_and_infinities(spark):
+    inf, nan = math.inf, math.nan
+    rows = [("n", 1.0), ("n", nan), ("n", None), ("i", inf), ("i", 1.0), ("b", inf), ("b", -inf), ("o", 1e308), ("o", 1e308)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for parts in (1, 5):
+        found = {r.k: (r.total, r.n) for r in K.compensated_sum(df.repartition(parts), "k", "v").collect()}
+        assert math.isnan(found["n"][0]) and found["n"][1] == 2 and math.isnan(found["b"][0])
+        assert found["i"] == (inf, 2) and found["o"] == (inf, 2)
+
+
 VOCAB = [(1, "bank", 9), (2, "river", 5), (3, "money", 5), (4, "near", 2)]
 
 
@@ -108,6 +118,20 @@ def test_context_file(spark, tmp_path, monkeypatch):
         assert {tuple(r) for r in WS.read_contexts(spark, str(tmp_path / "data.txt")).collect()} == wanted
 
 
+def test_context_files_in_small_splits(spark, tmp_path):
+    wanted = set()
+    for key, size in (("alpha.n", 300), ("beta.n", 90), ("gamma.v", 700)):
+        lines = [f"{key} {size}"] + [f"{key} left {i}\tright {i}" for i in range(size)]
+        (tmp_path / f"{key}.txt").write_text("\n".join(lines) + "\n")
+        wanted |= {(key, i + 1, f"{key} left {i}", f"right {i}") for i in range(size)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        found = [tuple(r) for r in WS.read_contexts(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(found) == len(wanted) and set(found) == wanted
+
+
 def test_answer_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("bank.n", 3, 2), ("bank.n", 1, 1)], "key string, instance int, sense int")
     WS.write_predictions(rows, str(tmp_path / "p"))
@@ -130,6 +154,7 @@ def test_nested_contexts(spark, tmp_path):
 def test_cap_of_contexts_per_sense(spark):
     df = spark.range(30).select(F.lit("w").alias("word"), (F.col("id") % 2).cast("string").alias("sense"), F.col("id").alias("context_id"))
     assert wsi.capped_contexts(df, 5).groupBy("sense").count().select("count").distinct().first()[0] == 5
+    assert wsi.capped_contexts(df).count() == 30
 
 
 def test_vector_file(spark, fixture, tmp_path):

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from sensevec.operators import model as M
 from sensevec.operators import score as S
-from sensevec.operators.vocab import build_vocab, word_count
+from sensevec.operators.vocab import build_vocab, lookup_words, word_count
 from sensevec.plans import evaluate as EV
 from sensevec.plans import likelihood as L
-from sensevec.plans.train import TrainingDiverged, TrainParams, train, train_job
+from sensevec.plans.train import TrainingDiverged, TrainParams, train, train_job, train_tokens
 from sensevec.session import materialize
 from sensevec.sources.corpus import scan_words
 from sensevec.streaming import counts as SC
@@ -76,6 +76,16 @@ def test_training_improves_and_keeps_counts(trained):
     assert drift.agg(F.max("e")).first()[0] < 1e-6
 
 
+def test_statistics_of_a_round_in_both_forms(spark, corpus):
+    docs = corpus.filter("doc_id < 30").select("doc_id", "text")
+    vocab = materialize(build_vocab(word_count(scan_words(docs)), 1, 0), "vocab")
+    tokens = materialize(lookup_words(scan_words(docs), vocab).select("doc_id", "pos", "word_id", "freq"), "tokens")
+    params = TrainParams(dim=4, senses=2, min_freq=1, rounds=1)
+    kernel, joined = (train_tokens(tokens, vocab, params, limit).metrics().first() for limit in (1 << 28, 0))
+    assert tuple(joined) == pytest.approx(tuple(kernel))
+    assert kernel.pairs > 0 and kernel.occurrences == tokens.count()
+
+
 def test_divergence_is_reported(corpus):
     params = TrainParams(dim=20, senses=5, min_freq=1, epochs=1, rounds=4, cap=None, start_lr=1e305)
     with pytest.raises(TrainingDiverged):
