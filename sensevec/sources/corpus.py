@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import simple_words, split_words
+from .wsi import numbered_file_lines
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -25,10 +26,8 @@ def read_documents(spark: SparkSession, path: str, *cols: str) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Plain text, one document per line."""
-    return spark.read.text(path).select(
-        F.xxhash64(F.input_file_name(), F.monotonically_increasing_id()).alias("doc_id"), F.col("value").alias("text")
-    )
+    """Plain text, one document per line; ids number the lines in the order of files, whatever the splits."""
+    return numbered_file_lines(spark, path).select(F.col("line_no").alias("doc_id"), F.col("value").alias("text"))
 
 
 def _exploded(docs: DataFrame, id_col: str, words: Column) -> DataFrame:

@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensevec.operators import metrics as E
+from sensevec.operators import neighbors as N
 from sensevec.operators import summation as K
 from sensevec.operators import wsi
 from sensevec.sources import vectors as XS
 from sensevec.sources import wsi as WS
+from sensevec.sources.corpus import read_text
 
 
 def labels(spark, truth, pred, key="k"):
@@ -157,6 +159,27 @@ def test_cap_of_contexts_per_sense(spark):
     assert wsi.capped_contexts(df).count() == 30
 
 
+def test_text_ids_do_not_depend_on_splits(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_text("".join(f"text {k} {i}\n" for i in range(100)))
+    found = []
+    for size in ("500", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found.append({tuple(r) for r in read_text(spark, str(tmp_path)).collect()})
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] and len({i for i, _ in found[0]}) == 300
+
+
+def test_neighbours_by_word(spark, fixture):
+    word = fixture.vocab.filter("word_id = 1").first().word
+    rows = N.candidates(fixture.model.in_vec, fixture.model.sense_counts)
+    ids = N.nearest_neighbors(rows, 1, 1, 5).join(fixture.vocab, "word_id")
+    wanted = {(r.word, r.sense, round(r.sim, 9)) for r in ids.collect()}
+    assert {(r.word, r.sense, round(r.sim, 9)) for r in N.nearest_words(fixture.model, word, 1, 5).collect()} == wanted
+    with pytest.raises(ValueError):
+        N.nearest_words(fixture.model, "no such word", 1)
+
+
 def test_vector_file(spark, fixture, tmp_path):
     XS.write_vectors(fixture.model, str(tmp_path / "v"))
     first = spark.read.text(str(tmp_path / "v")).filter("value rlike '^[0-9]+ [0-9]+$'").first()[0]
