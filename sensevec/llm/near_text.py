@@ -11,14 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .alignment import similar
-from .common import components, discard, materialize, whole_text
+from .common import components, materialize, whole_text
 
 WORD = r"[\p{L}\p{N}]+"
 SHINGLE = 5  # words of a k-mer
 SAMPLES = 20  # sketches of a text
 KMERS = 3  # minimum k-mers of a sketch
 SIMILARITY = 0.8
-PAIRED = 16  # members that are left over by a pivot, up to which each is compared with each
+PAIRED = 32  # members of a bucket up to which each is compared with each of other classes
+PIVOTS = 16  # members that a larger bucket is compared with in a round
 FURTHER = (1, 2, 3)  # sketches by which a larger rest is divided
 HASHES_AT_ONCE = 1 << 21
 PAIRS_AT_ONCE = 512
@@ -115,48 +116,72 @@ def _verified(similarity: float):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(a, b, linked)`` for pairs of text keys, from their whole word sequences."""
+    """``(a, b, linked)`` for pairs of text keys, from their whole word sequences; pairs whose lengths rule a link out are left out."""
     left = texts.select(F.col("text_key").alias("a"), F.col("words").alias("words_a"))
     right = texts.select(F.col("text_key").alias("b"), F.col("words").alias("words_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
+    sizes = F.size("words_a"), F.size("words_b")
+    joined = joined.filter(F.abs(sizes[0] - sizes[1]) <= F.greatest(*sizes) * F.lit(1.0 - similarity) + F.lit(1e-9))
     return joined.mapInArrow(_verified(similarity), "a string, b string, linked boolean")
 
 
-def _links(buckets: DataFrame, unique: DataFrame, texts: DataFrame, similarity: float) -> list[DataFrame]:
-    """Written tables of verified pairs from ``buckets (bucket, at, text_key)``.
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets whose texts are not all in one class by now, with their class, its members and all in the bucket."""
+    placed = buckets.join(roots, F.col("text_key") == F.col("node"), "left")
+    placed = placed.select("bucket", "at", "text_key", F.coalesce("root", "text_key").alias("root"))
+    per = placed.groupBy("bucket", "root").agg(F.count("*").alias("in_class"))
+    sized = per.groupBy("bucket").agg(F.sum("in_class").alias("members"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return placed.join(per.join(sized, "bucket"), ["bucket", "root"])
 
-    The members of a bucket are compared with its smallest one.  Those that are not similar to it are left over: a few of
-    them are compared with each other, more are divided by the sketches that follow and go through the next round as smaller
-    buckets.  A round takes the pivot out of every bucket, so the rounds end; members of unlike texts part quickly.
+
+def _each(members: DataFrame) -> DataFrame:
+    """Pairs of a small bucket's members that are in different classes."""
+    a = members.select("bucket", F.col("text_key").alias("a"), F.col("root").alias("root_a"))
+    b = members.select("bucket", F.col("text_key").alias("b"), F.col("root").alias("root_b"))
+    return a.join(b, "bucket").filter("a < b and root_a <> root_b").select("a", "b")
+
+
+def _classes(buckets: DataFrame, unique: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``(node, root)`` of the texts that are linked, from ``buckets (bucket, at, text_key)``.
+
+    The members of a bucket are first compared with its smallest one, and the links so far make classes.  Where a bucket
+    still holds several classes, all of its members go on, the linked ones too: up to ``PAIRED`` members of unlike classes
+    are compared with each other.  More are divided, at first by each of three sketches that follow and then by one, so that
+    rows do not multiply; what stays large is compared with ``PIVOTS`` of its members, from the smallest classes.  These have
+    met the whole bucket and leave it, and so do members of classes with more than ``PAIRED`` in it; so the rounds end.
     """
-    found = []
+    first = buckets.groupBy("bucket").agg(F.min("text_key").alias("pivot"))
+    members = buckets.join(first, "bucket").filter("text_key <> pivot")
+    pairs = members.select(F.col("pivot").alias("a"), F.col("text_key").alias("b")).distinct()
+    checked = materialize(verify(pairs, texts, similarity), "checked")
+    roots = materialize(components(checked.filter("linked").select("a", "b")), "roots")
+    buckets = members.select("bucket", "at", "text_key")
+    further = FURTHER
     while True:
-        sized = buckets.groupBy("bucket").agg(F.min("text_key").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-        members = buckets.join(sized, "bucket").filter("text_key <> pivot")
-        members = materialize(members, "members")
-        pairs = members.select(F.col("pivot").alias("a"), F.col("text_key").alias("b")).distinct()
-        checked = materialize(verify(pairs, texts, similarity), "checked")
-        found.append(checked.filter("linked").select("a", "b"))
-        failed = checked.filter(~F.col("linked")).select(F.col("a").alias("pivot"), F.col("b").alias("text_key"))
-        left = members.join(failed, ["pivot", "text_key"], "left_semi").select("bucket", "at", "text_key")
-        number = left.groupBy("bucket").agg(F.count("*").alias("left")).filter("left > 1")
-        left = materialize(left.join(number, "bucket"), "left-over")
-        discard(members)
-        few = left.filter(F.col("left") <= PAIRED)
-        each = few.select("bucket", F.col("text_key").alias("a")).join(
-            few.select("bucket", F.col("text_key").alias("b")), "bucket"
-        )
-        each = each.filter("a < b").select("a", "b").distinct()
-        if not few.isEmpty():
-            found.append(materialize(verify(each, texts, similarity), "checked").filter("linked").select("a", "b"))
-        many = left.filter(F.col("left") > PAIRED)
-        if many.isEmpty():
-            return found
-        steps = F.explode(F.array(*[F.lit(k) for k in FURTHER])).alias("step")
-        many = many.join(unique, "text_key").select("bucket", "at", "text_key", "sketches", steps)
+        left = materialize(_mixed(buckets, roots), "left-over")
+        few, many = left.filter(F.col("members") <= PAIRED), left.filter(F.col("members") > PAIRED)
+        steps = F.explode(F.array(*[F.lit(k) for k in further])).alias("step")
+        divided = many.select("bucket", "at", "text_key").join(unique, "text_key").select("bucket", "at", "text_key", "sketches", steps)
         at = F.pmod(F.col("at") + F.col("step"), F.size("sketches"))
-        finer = F.xxhash64("bucket", "step", F.element_at("sketches", at + 1))
-        buckets = materialize(many.select(finer.alias("bucket"), at.alias("at"), "text_key").distinct(), "buckets")
+        finer = F.xxhash64("bucket", "step", F.element_at("sketches", at + 1)).alias("bucket")
+        divided = materialize(_mixed(divided.select(finer, at.alias("at"), "text_key").distinct(), roots), "divided")
+        small, large = divided.filter(F.col("members") <= PAIRED), divided.filter(F.col("members") > PAIRED)
+        part = F.pmod(F.xxhash64("text_key"), F.lit(PIVOTS)).alias("part")
+        least = F.min(F.struct("in_class", "text_key", "root")).alias("least")
+        pivots = large.groupBy("bucket", part).agg(least).select(
+            "bucket", F.col("least.text_key").alias("pivot"), F.col("least.root").alias("pivot_root")
+        )
+        met = large.join(pivots, "bucket").filter(F.col("root") != F.col("pivot_root"))
+        met = met.select(F.least("pivot", "text_key").alias("a"), F.greatest("pivot", "text_key").alias("b"))
+        pairs = _each(few).union(_each(small)).union(met).distinct()
+        checked = materialize(verify(pairs, texts, similarity), "checked")
+        edges = checked.filter("linked").select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = materialize(components(edges), "roots")
+        if large.isEmpty():
+            return roots
+        done = pivots.select("bucket", F.col("pivot").alias("text_key"))
+        rest = large.filter(F.col("in_class") <= PAIRED).join(done, ["bucket", "text_key"], "left_anti")
+        buckets, further = rest.select("bucket", "at", "text_key"), FURTHER[:1]
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -191,11 +216,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     held = docs.select(row_key().alias("row_key"), whole_text().alias("text")).join(asked, "row_key")
     held = held.dropDuplicates(["text_key"]).select("text_key", _hashes(_words()).alias("words"))
     held = materialize(held, "words")
-    links = _links(buckets, unique, held, similarity)
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    roots = components(edges)
+    roots = _classes(buckets, unique, held, similarity)
     joined = rows.select("doc_id", "row_key", "text_key").join(roots, F.col("text_key") == F.col("node"), "left")
     joined = joined.select("doc_id", "row_key", F.coalesce("root", "text_key").alias("root"))
     placed = materialize(joined, "placed")
