@@ -330,3 +330,16 @@ def test_near_texts_against_all_pairs(spark, odd, none):
     kept = near_text.one_of_each(odd)
     assert kept.columns == odd.columns and kept.count() == len({re.sub(r"\W+", " ", t or "").strip() for (t,) in odd.select("text").collect()})
     assert near_text.one_of_each(none).count() == 0
+
+
+def test_a_chain_of_edits_is_one_class(spark):
+    """Neighbours in a chain are similar, others are not; a text linked to a pivot still meets one that is not."""
+    words = [f"w{k}" for k in range(200)]
+    chain = []
+    for step in range(6):
+        chain.append(" ".join(words))
+        words[30 * step : 30 * step + 30] = [f"x{step}y{k}" for k in range(30)]
+    other = " ".join(f"z{k}" for k in range(200))
+    docs = spark.createDataFrame([*enumerate(chain), (9, other)], "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_text.near_duplicates(docs).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 9: 9}
