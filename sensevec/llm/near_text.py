@@ -193,6 +193,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     ``class_id`` is the smallest id of the class, and of its rows one is kept: one with that id, or any if all ids are null.
     ``kept`` is true for all rows that repeat the kept one's id and text.  With 20 sketches of three five-word k-mers, texts
     with a k-mer overlap of 0.8 meet in no sketch about once in a million, with one of 0.5 about seven times in a hundred.
+    In buckets above ``PAIRED`` members not every pair is compared, see ``_classes``.
     """
     words = docs.select("doc_id", row_key().alias("row_key"), _words().alias("words"))
     hashed = words.select(
