@@ -120,9 +120,7 @@ def _compare(threshold: float):
         if low != high:
             least_b = np.where(linked, ids_a[:, None], np.iinfo(np.int64).max).min(0)
             out.append(pd.DataFrame({"vec_id": ids_b, "n": copies_a @ fresh, "other": least_b})[linked.any(0)])
-            pair = np.argwhere(linked)
-            first = pd.DataFrame({"vec_id": ids_a[pair[:, 0]], "n": 0, "other": ids_b[pair[:, 1]]})
-            out.append(first.drop_duplicates("vec_id"))
+            out.append(_pair_edges(linked, ids_a, ids_b))
         else:
             out.append(_forest_edges(linked, ids_a))
         return pd.concat(out)
@@ -141,6 +139,28 @@ def _forest_edges(linked: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": ids, "n": 0, "other": root})[root != ids]
 
 
+def _pair_edges(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> pd.DataFrame:
+    """Edges that connect each connected set of two blocks to its smallest id; every row is searched from once."""
+    left, right = linked.any(1), linked.any(0)
+    nodes, roots = [], []
+    for start in np.flatnonzero(left):
+        if not left[start]:
+            continue
+        left[start] = False
+        rows, members = np.array([start]), [ids_a[[start]]]
+        while len(rows):
+            columns = np.flatnonzero(linked[rows].any(0) & right)
+            right[columns] = False
+            rows = np.flatnonzero(linked[:, columns].any(1) & left)
+            left[rows] = False
+            members += [ids_b[columns], ids_a[rows]]
+        found = np.concatenate(members)
+        nodes.append(found)
+        roots.append(np.full(len(found), found.min(), found.dtype))
+    edges = pd.DataFrame({"vec_id": np.concatenate(nodes), "n": 0, "other": np.concatenate(roots)})
+    return edges[edges.vec_id != edges.other]
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = THRESHOLD,
