@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,8 +20,11 @@ SAMPLES = 20  # sketches of a text
 KMERS = 3  # minimum k-mers of a sketch
 SIMILARITY = 0.8
 PAIRED = 32  # members of a bucket up to which each is compared with each of other classes
-PIVOTS = 16  # members that a larger bucket is compared with in a round
-FURTHER = (1, 2, 3)  # sketches by which a larger rest is divided
+BLOCK_ROWS = 1024  # larger buckets are compared block by block
+BLOCK_WORDS = 1 << 20  # that the texts of a block have together, about
+BINS = 128  # of the word counts that rule pairs out
+ROWS_AT_ONCE = 64
+BOUNDS_AT_ONCE = 1 << 14
 HASHES_AT_ONCE = 1 << 21
 PAIRS_AT_ONCE = 512
 
@@ -128,7 +132,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
 def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the buckets whose texts are not all in one class by now, with their class, its members and all in the bucket."""
     placed = buckets.join(roots, F.col("text_key") == F.col("node"), "left")
-    placed = placed.select("bucket", "at", "text_key", F.coalesce("root", "text_key").alias("root"))
+    placed = placed.select("bucket", "text_key", F.coalesce("root", "text_key").alias("root"))
     per = placed.groupBy("bucket", "root").agg(F.count("*").alias("in_class"))
     sized = per.groupBy("bucket").agg(F.sum("in_class").alias("members"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return placed.join(per.join(sized, "bucket"), ["bucket", "root"])
@@ -141,47 +145,101 @@ def _each(members: DataFrame) -> DataFrame:
     return a.join(b, "bucket").filter("a < b and root_a <> root_b").select("a", "b")
 
 
-def _classes(buckets: DataFrame, unique: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``(node, root)`` of the texts that are linked, from ``buckets (bucket, at, text_key)``.
+def _bins(words: list[np.ndarray]) -> np.ndarray:
+    """How many words of each text have a hash of each residue."""
+    out = np.zeros((len(words), BINS), np.int32)
+    for k, x in enumerate(words):
+        out[k] = np.bincount(x & (BINS - 1), minlength=BINS)
+    return out
+
+
+def _possible(one: tuple, two: tuple, similarity: float) -> np.ndarray:
+    """Whether lengths and word counts leave a link open, for texts ``(sizes, bins)`` side by side; never false for a linked pair."""
+    limits = np.floor((1.0 - similarity) * np.maximum(one[0], two[0]) + 1e-9)
+    more = one[1] - two[1]
+    return np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= limits
+
+
+def _linked_blocks(similarity: float):
+    """Links that join the classes of two blocks of a bucket.
+
+    Every pair of unlike classes is excluded by its lengths or word counts, is joined through other links by now, or is aligned.
+    """
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = (np.flatnonzero(frame.block.to_numpy() == k) for k in key[1:3])
+        words = [np.asarray(x, np.int64) for x in frame.words]
+        sizes, bins = np.array([len(x) for x in words]), _bins(words)
+        label = np.unique(frame.root.to_numpy(), return_inverse=True)[1]
+        edges = []
+        for first in range(0, len(left), ROWS_AT_ONCE):
+            rows = left[first : first + ROWS_AT_ONCE]
+            limits = (1.0 - similarity) * np.maximum(sizes[rows][:, None], sizes[right][None, :]) + 1e-9
+            open_ = (label[rows][:, None] != label[right][None, :]) & (np.abs(sizes[rows][:, None] - sizes[right][None, :]) <= limits)
+            if key[1] == key[2]:
+                open_ &= rows[:, None] < right[None, :]
+            a, b = np.nonzero(open_)
+            a, b = rows[a], right[b]
+            parts = [slice(k, k + BOUNDS_AT_ONCE) for k in range(0, len(a), BOUNDS_AT_ONCE)]
+            kept = [_possible((sizes[a[p]], bins[a[p]]), (sizes[b[p]], bins[b[p]]), similarity) for p in parts]
+            kept = np.concatenate([*kept, np.zeros(0, bool)])
+            a, b = a[kept], b[kept]
+            while True:
+                unlike = label[a] != label[b]
+                a, b = a[unlike], b[unlike]
+                if not len(a):
+                    break
+                # of a pair of classes one pair at a time: where it is linked, the others need not be aligned
+                low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+                now = np.unique(low * len(frame) + high, return_index=True)[1][:PAIRS_AT_ONCE]
+                for x, y, linked in zip(a[now], b[now], similar([(words[x], words[y]) for x, y in zip(a[now], b[now], strict=True)], similarity), strict=True):
+                    if linked:
+                        edges.append((x, y))
+                        label[label == label[y]] = label[x]
+                a, b = np.delete(a, now), np.delete(b, now)
+        keys = frame.text_key.to_numpy()
+        return pd.DataFrame({"a": [keys[x] for x, _ in edges], "b": [keys[y] for _, y in edges]}, dtype=object)
+
+    return run
+
+
+def _block_links(large: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links that join the classes of large buckets ``(bucket, text_key, root)``, whose members are cut into blocks."""
+    sized = large.select("bucket", "text_key", "root").join(texts.select("text_key", F.size("words").alias("n")), "text_key")
+    wanted = F.greatest(F.count("*") / F.lit(BLOCK_ROWS), F.sum("n") / F.lit(BLOCK_WORDS))
+    blocks = sized.groupBy("bucket").agg(F.ceil(wanted).cast("int").alias("blocks"))
+    placed = sized.drop("n").join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high")
+    placed = placed.select("bucket", low, high, "block", "text_key", "root").join(texts, "text_key")
+    return placed.groupBy("bucket", "low", "high").applyInPandas(_linked_blocks(similarity), "a string, b string")
+
+
+def _unlike(left: DataFrame) -> DataFrame:
+    """One of the buckets that have the same members."""
+    a, b = F.bit_xor(F.xxhash64("text_key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "text_key")).alias("y")
+    once = left.groupBy("bucket").agg(a, b, F.count("*").alias("n")).groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket"))
+    return left.join(once.select("bucket"), "bucket")
+
+
+def _classes(buckets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``(node, root)`` of the texts that are linked, from ``buckets (bucket, text_key)``.
 
     The members of a bucket are first compared with its smallest one, and the links so far make classes.  Where a bucket
-    still holds several classes, all of its members go on, the linked ones too: up to ``PAIRED`` members of unlike classes
-    are compared with each other.  More are divided, at first by each of three sketches that follow and then by one, so that
-    rows do not multiply; what stays large is compared with ``PIVOTS`` of its members, from the smallest classes.  These have
-    met the whole bucket and leave it, and so do members of classes with more than ``PAIRED`` in it; so the rounds end.
+    still holds several classes, all pairs of unlike classes are settled: up to ``PAIRED`` members are compared with each other,
+    more in pairs of blocks by different tasks, from which only links that join classes leave.
     """
     first = buckets.groupBy("bucket").agg(F.min("text_key").alias("pivot"))
-    members = buckets.join(first, "bucket").filter("text_key <> pivot")
-    pairs = members.select(F.col("pivot").alias("a"), F.col("text_key").alias("b")).distinct()
+    members = buckets.join(first, "bucket")
+    pairs = members.filter("text_key <> pivot").select(F.col("pivot").alias("a"), F.col("text_key").alias("b")).distinct()
     checked = materialize(verify(pairs, texts, similarity), "checked")
     roots = materialize(components(checked.filter("linked").select("a", "b")), "roots")
-    buckets = members.select("bucket", "at", "text_key")
-    further = FURTHER
-    while True:
-        left = materialize(_mixed(buckets, roots), "left-over")
-        few, many = left.filter(F.col("members") <= PAIRED), left.filter(F.col("members") > PAIRED)
-        steps = F.explode(F.array(*[F.lit(k) for k in further])).alias("step")
-        divided = many.select("bucket", "at", "text_key").join(unique, "text_key").select("bucket", "at", "text_key", "sketches", steps)
-        at = F.pmod(F.col("at") + F.col("step"), F.size("sketches"))
-        finer = F.xxhash64("bucket", "step", F.element_at("sketches", at + 1)).alias("bucket")
-        divided = materialize(_mixed(divided.select(finer, at.alias("at"), "text_key").distinct(), roots), "divided")
-        small, large = divided.filter(F.col("members") <= PAIRED), divided.filter(F.col("members") > PAIRED)
-        part = F.pmod(F.xxhash64("text_key"), F.lit(PIVOTS)).alias("part")
-        least = F.min(F.struct("in_class", "text_key", "root")).alias("least")
-        pivots = large.groupBy("bucket", part).agg(least).select(
-            "bucket", F.col("least.text_key").alias("pivot"), F.col("least.root").alias("pivot_root")
-        )
-        met = large.join(pivots, "bucket").filter(F.col("root") != F.col("pivot_root"))
-        met = met.select(F.least("pivot", "text_key").alias("a"), F.greatest("pivot", "text_key").alias("b"))
-        pairs = _each(few).union(_each(small)).union(met).distinct()
-        checked = materialize(verify(pairs, texts, similarity), "checked")
-        edges = checked.filter("linked").select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = materialize(components(edges), "roots")
-        if large.isEmpty():
-            return roots
-        done = pivots.select("bucket", F.col("pivot").alias("text_key"))
-        rest = large.filter(F.col("in_class") <= PAIRED).join(done, ["bucket", "text_key"], "left_anti")
-        buckets, further = rest.select("bucket", "at", "text_key"), FURTHER[:1]
+    left = materialize(_unlike(_mixed(buckets, roots)), "left-over")
+    few, many = left.filter(F.col("members") <= PAIRED), left.filter(F.col("members") > PAIRED)
+    pairs = _each(few).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    found = verify(pairs, texts, similarity).filter("linked").select("a", "b").union(_block_links(many, texts, similarity))
+    found = materialize(found, "links")
+    return materialize(components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -193,7 +251,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     ``class_id`` is the smallest id of the class, and of its rows one is kept: one with that id, or any if all ids are null.
     ``kept`` is true for all rows that repeat the kept one's id and text.  With 20 sketches of three five-word k-mers, texts
     with a k-mer overlap of 0.8 meet in no sketch about once in a million, with one of 0.5 about seven times in a hundred.
-    In buckets above ``PAIRED`` members not every pair is compared, see ``_classes``.
+    Of texts that share a sketch no pair is left open, however many share it, see ``_classes``.
     """
     words = docs.select("doc_id", row_key().alias("row_key"), _words().alias("words"))
     hashed = words.select(
@@ -210,14 +268,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     unique = rows.join(texts, ["text_key", "row_key"], "left_semi").dropDuplicates(["text_key"])
     unique = materialize(unique.select("text_key", "sketches"), "unique-texts")
     keyed = unique.select("text_key", F.posexplode("sketches").alias("at", "sketch"))
-    buckets = keyed.select(F.xxhash64("at", "sketch").alias("bucket"), "at", "text_key")
+    buckets = keyed.select(F.xxhash64("at", "sketch").alias("bucket"), "text_key")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     buckets = materialize(buckets.join(shared, "bucket"), "buckets")
     asked = texts.join(buckets.select("text_key").distinct(), "text_key")
     held = docs.select(row_key().alias("row_key"), whole_text().alias("text")).join(asked, "row_key")
     held = held.dropDuplicates(["text_key"]).select("text_key", _hashes(_words()).alias("words"))
     held = materialize(held, "words")
-    roots = _classes(buckets, unique, held, similarity)
+    roots = _classes(buckets, held, similarity)
     joined = rows.select("doc_id", "row_key", "text_key").join(roots, F.col("text_key") == F.col("node"), "left")
     joined = joined.select("doc_id", "row_key", F.coalesce("root", "text_key").alias("root"))
     placed = materialize(joined, "placed")
