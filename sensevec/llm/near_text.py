@@ -18,6 +18,9 @@ WORD = r"[\p{L}\p{N}]+"
 SHINGLE = 5  # words of a k-mer
 SAMPLES = 20  # sketches of a text
 KMERS = 3  # minimum k-mers of a sketch
+# Texts of so many words, from and to, have as many sketches of so many minimum k-mers of so many words; the ranges overlap
+# by more than the lengths of linked texts can differ.
+FURTHER = ((1, 15, 2, 1), (12, 125, 1, 3), (100, 1 << 62, 1, 4))
 SIMILARITY = 0.8
 PAIRED = 32  # members of a bucket up to which each is compared with each of other classes
 BLOCK_ROWS = 1024  # larger buckets are compared block by block
@@ -54,9 +57,9 @@ def labelled_kmers(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mixed(grams + occurrence * MIX_A)
 
 
-def sketches(words: np.ndarray, samples: int = SAMPLES, kmers: int = KMERS) -> np.ndarray:
+def sketches(words: np.ndarray, samples: int = SAMPLES, kmers: int = KMERS, size: int = SHINGLE) -> np.ndarray:
     """Order MinHash: for each sample the k-mers with the smallest hashes, joined in the order of the text."""
-    grams = labelled_kmers(words)
+    grams = labelled_kmers(words, size)
     kmers = min(kmers, len(grams))
     seeds = mixed(np.arange(1, samples + 1, dtype=np.uint64) * MIX_B) | np.uint64(1)
     out = np.empty(samples, np.uint64)
@@ -76,12 +79,22 @@ def sketches(words: np.ndarray, samples: int = SAMPLES, kmers: int = KMERS) -> n
     return out
 
 
+def all_sketches(words: np.ndarray) -> np.ndarray:
+    """Sketches of long k-mers, and those for scattered edits; each names its kind and sample."""
+    kinds = [(KMERS, SHINGLE), *((kmers, size) for low, high, kmers, size in FURTHER if low <= len(words) <= high)]
+    out = []
+    for kmers, size in kinds:
+        names = mixed(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(1000 * (10 * kmers + size)))
+        out.append(mixed(sketches(words, kmers=kmers, size=size) + names))
+    return np.concatenate(out)
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = batch.column("words")
         offsets, values = words.offsets.to_numpy(), words.values.to_numpy().view(np.uint64)
         rows = [
-            sketches(values[a:b]).view(np.int64) if b > a else np.zeros(0, np.int64)
+            all_sketches(values[a:b]).view(np.int64) if b > a else np.zeros(0, np.int64)
             for a, b in zip(offsets[:-1], offsets[1:], strict=True)
         ]
         ends = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)
@@ -249,8 +262,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     their edit similarity on whole word sequences, ``1 - distance / longer length``, is at least ``similarity``; classes are connected
     links.  Texts with equal words are one text from the start; null, empty and wordless texts are equal.
     ``class_id`` is the smallest id of the class, and of its rows one is kept: one with that id, or any if all ids are null.
-    ``kept`` is true for all rows that repeat the kept one's id and text.  With 20 sketches of three five-word k-mers, texts
-    with a k-mer overlap of 0.8 meet in no sketch about once in a million, with one of 0.5 about seven times in a hundred.
+    ``kept`` is true for all rows that repeat the kept one's id and text.  Besides 20 sketches of three five-word k-mers a text has 20 for scattered
+    edits: of two words up to 15 words, of one three-word k-mer up to 125, of one four-word k-mer from 100 on (see ``FURTHER``).
     Of texts that share a sketch no pair is left open, however many share it, see ``_classes``.
     """
     words = docs.select("doc_id", row_key().alias("row_key"), _words().alias("words"))
@@ -267,8 +280,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     texts = rows.groupBy("text_key").agg(F.min("row_key").alias("row_key"))
     unique = rows.join(texts, ["text_key", "row_key"], "left_semi").dropDuplicates(["text_key"])
     unique = materialize(unique.select("text_key", "sketches"), "unique-texts")
-    keyed = unique.select("text_key", F.posexplode("sketches").alias("at", "sketch"))
-    buckets = keyed.select(F.xxhash64("at", "sketch").alias("bucket"), "text_key")
+    keyed = unique.select("text_key", F.explode("sketches").alias("bucket"))
+    buckets = keyed  # the sketches of a text differ by kind and sample
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     buckets = materialize(buckets.join(shared, "bucket"), "buckets")
     asked = texts.join(buckets.select("text_key").distinct(), "text_key")

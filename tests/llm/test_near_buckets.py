@@ -51,3 +51,23 @@ def test_bounds_never_exclude_a_link():
     sides = [(np.array([len(p[k]) for p in pairs]), near_text._bins([p[k] for p in pairs])) for k in (0, 1)]
     possible = near_text._possible(*sides, 0.8)
     assert 50 < linked.sum() < 350 and not (linked & ~possible).any() and not possible.all()
+
+
+def test_scattered_edits_share_a_sketch():
+    """Recall of candidates at the similarity that links ask for."""
+    rng = np.random.default_rng(3)
+    for size in (5, 7, 10, 13, 15, 20, 40, 100, 126, 200, 1000):
+        for similarity in (0.8, 0.85, 0.9):
+            shared, times = 0, 100
+            for _ in range(times):
+                a = rng.integers(0, 1 << 62, size).astype(np.uint64)
+                b = a.copy()
+                b[rng.choice(size, int((1 - similarity) * size + 1e-9), replace=False)] = rng.integers(0, 1 << 62)
+                shared += len(np.intersect1d(near_text.all_sketches(a), near_text.all_sketches(b))) > 0
+            assert shared >= 97, (size, similarity, shared)
+
+
+def test_short_texts_with_one_other_word(spark):
+    rows = [(0, "the old cat sat on my mat"), (1, "the old dog sat on my mat"), (2, "a quite different text of seven words")]
+    found = near_text.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {0: 0, 1: 0, 2: 2}
