@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.priors import expected_pi
 from ..functions.text import split_words
+from ..session import materialize
 from .metrics import ari_column, totals
 from .model import SenseModel
 from .score import argmax_sense, disambiguate
@@ -122,10 +123,13 @@ def weighted_contingency(
     wanted = ambiguous(model).filter("n_senses > 1").select("word_id", "word")
     rows = rows.filter((F.col("weight") >= min_weight) & ~F.lower("word").rlike(r"[^\x00-\x7F]"))
     rows = capped_contexts(rows.withColumn("word", F.lower("word")), max_contexts).join(wanted, "word")
-    keys = ["word", "sense", "context_id"]
+    # senses of equal labels and records of one word repeat (word, sense, context_id), so every row gets a written number
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "weighted-rows")
+    keys = ["row", "word", "sense"]
     ctx = _collect(weighted_context_words(rows, model.vocab, window, keys, stop_words), keys)
+    ctx = ctx.select("row", "ctx")
     empty = F.array().cast("array<int>")
-    occurrences = rows.select(*keys, F.col("word_id").alias("x")).join(ctx, keys, "left").select(
+    occurrences = rows.select(*keys, F.col("word_id").alias("x")).join(ctx, "row", "left").select(
         F.struct(*keys).alias("occ_id"), "x", F.coalesce("ctx", empty).alias("ctx")
     )
     best = argmax_sense(disambiguate(occurrences, model, decoder=decoder))
