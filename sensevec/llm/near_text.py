@@ -12,20 +12,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .alignment import similar
-from .common import components, materialize, whole_text
+from .common import components, discard, materialize, whole_text
 
 WORD = r"[\p{L}\p{N}]+"
 SHINGLE = 5  # words of a k-mer
-SAMPLES = 20  # sketches of a text
+SAMPLES = 10  # sketches of a text
 KMERS = 3  # minimum k-mers of a sketch
-# Texts of so many words, from and to, have as many sketches of so many minimum k-mers of so many words; the ranges overlap
-# by more than the lengths of linked texts can differ.
-FURTHER = ((1, 15, 2, 1), (12, 125, 1, 3), (100, 1 << 62, 1, 4))
+# Texts of so many words, from and to, also have so many sketches of so many minimum k-mers of so many words, for scattered
+# edits; the ranges overlap by more than the lengths of linked texts can differ.
+FURTHER = ((1, 15, 20, 2, 1), (12, 60, 30, 2, 2), (45, 1 << 62, 50, 3, 2))
 SIMILARITY = 0.8
 PAIRED = 32  # members of a bucket up to which each is compared with each of other classes
 BLOCK_ROWS = 1024  # larger buckets are compared block by block
 BLOCK_WORDS = 1 << 20  # that the texts of a block have together, about
 BINS = 128  # of the word counts that rule pairs out
+MOST_OF_BIN = 255  # counts are cut off there, which can only leave more pairs open
 ROWS_AT_ONCE = 64
 BOUNDS_AT_ONCE = 1 << 14
 HASHES_AT_ONCE = 1 << 21
@@ -81,11 +82,11 @@ def sketches(words: np.ndarray, samples: int = SAMPLES, kmers: int = KMERS, size
 
 def all_sketches(words: np.ndarray) -> np.ndarray:
     """Sketches of long k-mers, and those for scattered edits; each names its kind and sample."""
-    kinds = [(KMERS, SHINGLE), *((kmers, size) for low, high, kmers, size in FURTHER if low <= len(words) <= high)]
+    kinds = [(SAMPLES, KMERS, SHINGLE), *(kind for low, high, *kind in FURTHER if low <= len(words) <= high)]
     out = []
-    for kmers, size in kinds:
-        names = mixed(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(1000 * (10 * kmers + size)))
-        out.append(mixed(sketches(words, kmers=kmers, size=size) + names))
+    for samples, kmers, size in kinds:
+        names = mixed(np.arange(samples, dtype=np.uint64) + np.uint64(1000 * (10 * kmers + size)))
+        out.append(mixed(sketches(words, samples, kmers, size) + names))
     return np.concatenate(out)
 
 
@@ -132,14 +133,51 @@ def _verified(similarity: float):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(a, b, linked)`` for pairs of text keys, from their whole word sequences; pairs whose lengths rule a link out are left out."""
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and word counts of each text, a byte for each bin."""
+    for batch in batches:
+        offsets, values = batch.column("words").offsets.to_numpy(), batch.column("words").values.to_numpy()
+        bins = _bins([values[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)])
+        packed = pa.array([x.tobytes() for x in bins.astype(np.uint8)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(np.diff(offsets), pa.int32()), packed], ["text_key", "n", "bins"])
+
+
+def _unpacked(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BINS).astype(np.int32)
+
+
+def _open(similarity: float):
+    """Pairs that sizes and word counts leave open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [(batch.column(f"n_{x}").to_numpy(), _unpacked(batch.column(f"bins_{x}").to_pylist())) for x in "ab"]
+            yield batch.select(["a", "b"]).filter(pa.array(_possible(*sides, similarity)))
+
+    return run
+
+
+def _kind(texts: DataFrame) -> str:
+    return texts.schema["text_key"].dataType.simpleString()
+
+
+def possible_pairs(pairs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The ``(a, b)`` that may be linked, from ``marks (text_key, n, bins)``; no words are moved."""
+    joined = pairs
+    for side in "ab":
+        named = marks.select(F.col("text_key").alias(side), F.col("n").alias(f"n_{side}"), F.col("bins").alias(f"bins_{side}"))
+        joined = joined.join(named, side)
+    far = F.abs(F.col("n_a") - F.col("n_b")) > F.greatest("n_a", "n_b") * F.lit(1.0 - similarity) + F.lit(1e-9)
+    joined = joined.filter(~far).select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
+    return joined.mapInArrow(_open(similarity), f"a {_kind(marks)}, b {_kind(marks)}")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(a, b, linked)`` for pairs of text keys, from their whole word sequences; pairs that cannot be linked are left out before."""
     left = texts.select(F.col("text_key").alias("a"), F.col("words").alias("words_a"))
     right = texts.select(F.col("text_key").alias("b"), F.col("words").alias("words_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
-    sizes = F.size("words_a"), F.size("words_b")
-    joined = joined.filter(F.abs(sizes[0] - sizes[1]) <= F.greatest(*sizes) * F.lit(1.0 - similarity) + F.lit(1e-9))
-    return joined.mapInArrow(_verified(similarity), "a string, b string, linked boolean")
+    joined = possible_pairs(pairs, marks, similarity).join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
+    return joined.mapInArrow(_verified(similarity), f"a {_kind(texts)}, b {_kind(texts)}, linked boolean")
 
 
 def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -159,11 +197,11 @@ def _each(members: DataFrame) -> DataFrame:
 
 
 def _bins(words: list[np.ndarray]) -> np.ndarray:
-    """How many words of each text have a hash of each residue."""
+    """How many words of each text have a hash of each residue, up to ``MOST_OF_BIN``."""
     out = np.zeros((len(words), BINS), np.int32)
     for k, x in enumerate(words):
         out[k] = np.bincount(x & (BINS - 1), minlength=BINS)
-    return out
+    return np.minimum(out, MOST_OF_BIN)
 
 
 def _possible(one: tuple, two: tuple, similarity: float) -> np.ndarray:
@@ -216,16 +254,54 @@ def _linked_blocks(similarity: float):
     return run
 
 
-def _block_links(large: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)``: links that join the classes of large buckets ``(bucket, text_key, root)``, whose members are cut into blocks."""
-    sized = large.select("bucket", "text_key", "root").join(texts.select("text_key", F.size("words").alias("n")), "text_key")
-    wanted = F.greatest(F.count("*") / F.lit(BLOCK_ROWS), F.sum("n") / F.lit(BLOCK_WORDS))
-    blocks = sized.groupBy("bucket").agg(F.ceil(wanted).cast("int").alias("blocks"))
-    placed = sized.drop("n").join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
+def _open_blocks(similarity: float):
+    """Texts of two blocks of a bucket that sizes and word counts leave open to one of another class."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = (np.flatnonzero(frame.block.to_numpy() == k) for k in key[1:3])
+        sizes, bins = frame.n.to_numpy(), _unpacked(frame.bins)
+        label = np.unique(frame.root.to_numpy(), return_inverse=True)[1]
+        found = np.zeros(len(frame), bool)
+        for first in range(0, len(left), ROWS_AT_ONCE):
+            rows = left[first : first + ROWS_AT_ONCE]
+            limits = (1.0 - similarity) * np.maximum(sizes[rows][:, None], sizes[right][None, :]) + 1e-9
+            open_ = (label[rows][:, None] != label[right][None, :]) & (np.abs(sizes[rows][:, None] - sizes[right][None, :]) <= limits)
+            a, b = np.nonzero(open_)
+            a, b = rows[a], right[b]
+            for k in range(0, len(a), BOUNDS_AT_ONCE):
+                x, y = a[k : k + BOUNDS_AT_ONCE], b[k : k + BOUNDS_AT_ONCE]
+                may = _possible((sizes[x], bins[x]), (sizes[y], bins[y]), similarity)
+                found[x[may]] = found[y[may]] = True
+        return pd.DataFrame({"bucket": key[0], "text_key": frame.text_key[found].to_numpy()}, dtype=object)
+
+    return run
+
+
+def _in_blocks(members: DataFrame, weight: Column) -> DataFrame:
+    """Members of buckets cut into blocks of bounded size, once for each pair of blocks that they are in."""
+    wanted = F.greatest(F.count("*") / F.lit(BLOCK_ROWS), F.sum(weight) / F.lit(BLOCK_WORDS))
+    blocks = members.groupBy("bucket").agg(F.ceil(wanted).cast("int").alias("blocks"))
+    placed = members.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high")
-    placed = placed.select("bucket", low, high, "block", "text_key", "root").join(texts, "text_key")
-    return placed.groupBy("bucket", "low", "high").applyInPandas(_linked_blocks(similarity), "a string, b string")
+    return placed.select("bucket", low, high, "block", *[c for c in members.columns if c != "bucket"])
+
+
+def _block_links(large: DataFrame, texts: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links that join the classes of large buckets ``(bucket, text_key, root)``, whose members are cut into blocks.
+
+    Word counts alone first tell which members may have a partner in another class; only those come with their words.
+    """
+    kind = _kind(texts)
+    rows = large.select("bucket", "text_key", "root").join(marks, "text_key")
+    bucket = rows.schema["bucket"].dataType.simpleString()
+    counted = _in_blocks(rows, F.lit(0)).groupBy("bucket", "low", "high")
+    open_ = counted.applyInPandas(_open_blocks(similarity), f"bucket {bucket}, text_key {kind}").distinct()
+    left = materialize(rows.drop("bins").join(open_, ["bucket", "text_key"], "left_semi"), "open")
+    placed = _in_blocks(left, F.col("n")).drop("n").join(texts, "text_key")
+    found = materialize(placed.groupBy("bucket", "low", "high").applyInPandas(_linked_blocks(similarity), f"a {kind}, b {kind}"), "block-links")
+    discard(left)
+    return found
 
 
 def _unlike(left: DataFrame) -> DataFrame:
@@ -242,17 +318,26 @@ def _classes(buckets: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     still holds several classes, all pairs of unlike classes are settled: up to ``PAIRED`` members are compared with each other,
     more in pairs of blocks by different tasks, from which only links that join classes leave.
     """
+    kind = _kind(texts)
+    marks = materialize(texts.mapInArrow(_marked, f"text_key {kind}, n int, bins binary"), "marks")
     first = buckets.groupBy("bucket").agg(F.min("text_key").alias("pivot"))
     members = buckets.join(first, "bucket")
     pairs = members.filter("text_key <> pivot").select(F.col("pivot").alias("a"), F.col("text_key").alias("b")).distinct()
-    checked = materialize(verify(pairs, texts, similarity), "checked")
+    checked = materialize(verify(pairs, texts, marks, similarity), "checked")
     roots = materialize(components(checked.filter("linked").select("a", "b")), "roots")
     left = materialize(_unlike(_mixed(buckets, roots)), "left-over")
     few, many = left.filter(F.col("members") <= PAIRED), left.filter(F.col("members") > PAIRED)
     pairs = _each(few).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    found = verify(pairs, texts, similarity).filter("linked").select("a", "b").union(_block_links(many, texts, similarity))
+    found = verify(pairs, texts, marks, similarity).filter("linked").select("a", "b")
+    if not many.isEmpty():
+        found = found.union(_block_links(many, texts, marks, similarity))
     found = materialize(found, "links")
-    return materialize(components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+    for done in (marks, checked, left):
+        discard(done)
+    out = materialize(components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+    discard(roots)
+    discard(found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -262,36 +347,41 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     their edit similarity on whole word sequences, ``1 - distance / longer length``, is at least ``similarity``; classes are connected
     links.  Texts with equal words are one text from the start; null, empty and wordless texts are equal.
     ``class_id`` is the smallest id of the class, and of its rows one is kept: one with that id, or any if all ids are null.
-    ``kept`` is true for all rows that repeat the kept one's id and text.  Besides 20 sketches of three five-word k-mers a text has 20 for scattered
-    edits: of two words up to 15 words, of one three-word k-mer up to 125, of one four-word k-mer from 100 on (see ``FURTHER``).
-    Of texts that share a sketch no pair is left open, however many share it, see ``_classes``.
+    ``kept`` is true for all rows that repeat the kept one's id and text.  Besides 10 sketches of three five-word k-mers a text has others for
+    scattered edits: 20 of two words up to 15 words, 30 of two two-word k-mers from 12 to 60, 50 of three two-word k-mers from 45 on
+    (see ``FURTHER``).  Of texts that share a sketch no pair is left open, however many share it, see ``_classes``: sizes and word
+    counts rule most pairs out before any words are moved.
     """
     words = docs.select("doc_id", row_key().alias("row_key"), _words().alias("words"))
     hashed = words.select(
         "doc_id",
         "row_key",
-        F.md5(F.array_join("words", " ").cast("binary")).alias("text_key"),
+        F.unhex(F.md5(F.array_join("words", " ").cast("binary"))).alias("text_hash"),
         _hashes(F.col("words")).alias("words"),
     )
     id_type = hashed.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, row_key bigint, text_key string, sketches array<bigint>"
+    schema = f"doc_id {id_type}, row_key bigint, text_hash binary, sketches array<bigint>"
     rows = materialize(hashed.mapInArrow(_sketched, schema), "sketches")
-    # equal texts have equal sketches, so any row stands for its text
-    texts = rows.groupBy("text_key").agg(F.min("row_key").alias("row_key"))
-    unique = rows.join(texts, ["text_key", "row_key"], "left_semi").dropDuplicates(["text_key"])
-    unique = materialize(unique.select("text_key", "sketches"), "unique-texts")
-    keyed = unique.select("text_key", F.explode("sketches").alias("bucket"))
-    buckets = keyed  # the sketches of a text differ by kind and sample
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = materialize(buckets.join(shared, "bucket"), "buckets")
-    asked = texts.join(buckets.select("text_key").distinct(), "text_key")
+    # equal texts have equal sketches, so any row stands for its text; texts are numbered as they are written
+    texts = rows.groupBy("text_hash").agg(F.min("row_key").alias("row_key"))
+    unique = rows.join(texts, ["text_hash", "row_key"], "left_semi").dropDuplicates(["text_hash"])
+    unique = unique.select(F.monotonically_increasing_id().alias("text_key"), "text_hash", "row_key", "sketches")
+    unique = materialize(unique, "unique-texts")
+    keyed = unique.select("text_key", F.explode("sketches").alias("bucket"))  # the sketches of a text differ by kind and sample
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    buckets = materialize(keyed.join(shared, "bucket"), "buckets")
+    asked = unique.select("text_key", "row_key").join(buckets.select("text_key").distinct(), "text_key")
     held = docs.select(row_key().alias("row_key"), whole_text().alias("text")).join(asked, "row_key")
     held = held.dropDuplicates(["text_key"]).select("text_key", _hashes(_words()).alias("words"))
     held = materialize(held, "words")
     roots = _classes(buckets, held, similarity)
-    joined = rows.select("doc_id", "row_key", "text_key").join(roots, F.col("text_key") == F.col("node"), "left")
-    joined = joined.select("doc_id", "row_key", F.coalesce("root", "text_key").alias("root"))
-    placed = materialize(joined, "placed")
+    discard(buckets)
+    discard(held)
+    named = unique.select("text_hash", "text_key").join(roots, F.col("text_key") == F.col("node"), "left")
+    named = named.select("text_hash", F.coalesce("root", "text_key").alias("root"))
+    placed = materialize(rows.select("doc_id", "row_key", "text_hash").join(named, "text_hash").drop("text_hash"), "placed")
+    for done in (rows, unique, roots):
+        discard(done)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("key")))
     classes = placed.groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size"))
     return placed.join(classes, "root").select(

@@ -71,3 +71,41 @@ def test_short_texts_with_one_other_word(spark):
     rows = [(0, "the old cat sat on my mat"), (1, "the old dog sat on my mat"), (2, "a quite different text of seven words")]
     found = near_text.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.doc_id: r.class_id for r in found} == {0: 0, 1: 0, 2: 2}
+
+
+def test_candidates_after_insertions_and_deletions():
+    """Recall of candidates at the lowest similarity that links, for words put in, taken out, and both with substitutions."""
+    rng = np.random.default_rng(8)
+
+    def fresh(n):
+        return rng.integers(0, 1 << 62, n).astype(np.uint64)
+
+    for size in (10, 20, 46, 61, 130, 400):
+        edits = int(0.2 * size + 1e-9)
+        for kind in ("out", "in", "mixed"):
+            shared = 0
+            for _ in range(60):
+                a = fresh(size)
+                if kind == "out":
+                    b = np.delete(a, rng.choice(size, edits, replace=False))
+                elif kind == "in":
+                    more = int(size / 0.8 - size + 1e-9)
+                    b = np.insert(a, rng.choice(size + 1, more), fresh(more))
+                else:
+                    b = np.delete(a, rng.choice(size, edits // 3, replace=False))
+                    b[rng.choice(len(b), edits // 3, replace=False)] = rng.integers(0, 1 << 62)
+                    b = np.insert(b, rng.choice(len(b) + 1, edits // 3), fresh(edits // 3))
+                shared += len(np.intersect1d(near_text.all_sketches(a), near_text.all_sketches(b))) > 0
+            assert shared >= 57, (size, kind, shared)
+
+
+def test_sketches_keep_order():
+    """Every sketch is of two k-mers at least, and a text whose words stand the other way round shares none."""
+    rng = np.random.default_rng(9)
+    for size in (40, 300):
+        words = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        turned = np.concatenate([words[size // 2 :], words[: size // 2]])
+        assert len(np.intersect1d(near_text.all_sketches(words), near_text.all_sketches(words[::-1]))) == 0
+        same = len(np.intersect1d(near_text.all_sketches(words), near_text.all_sketches(turned)))
+        assert same < len(near_text.all_sketches(words)) * 0.7
+    assert all(kmers >= 2 for _, _, _, kmers, _ in near_text.FURTHER) and near_text.KMERS >= 2
