@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import components, materialize
 
 THRESHOLD = 0.98
-TREES = 6
+TREES = 8
 SPILL = 0.03  # vectors this close to a split go to both sides
+COPIES = 2  # leaves of a tree from which on a vector is not spilled any more
 LEAF_ROWS = 512  # that a tree aims at
 BLOCK_ROWS = 1024  # larger leaves are compared block by block
 SAMPLE_ROWS = 20_000  # that the splits are fitted on
@@ -68,14 +69,19 @@ class Forest:
             self.trees.append(levels)
 
     def leaves(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(row, tree, leaf)`` of every leaf that a row falls in; a row near a split goes on at both sides."""
+        """``(row, tree, leaf)`` of every leaf that a row falls in.
+
+        A row near a split goes on at both sides until it is in ``COPIES`` places of the tree, so the leaves of a row do not
+        grow in number with the depth.
+        """
         rows, trees, leaves = [], [], []
         for tree, levels in enumerate(self.trees):
             row, at = np.arange(len(units)), np.zeros(len(units), np.int64)
             for direction, nodes, cuts in levels:
                 near = np.minimum(np.searchsorted(nodes, at), len(nodes) - 1)
                 value = (units @ direction)[row] - cuts[near]
-                right, left = value >= -self.spill, value < self.spill
+                spill = np.where(np.bincount(row, minlength=len(units))[row] < COPIES, self.spill, 0.0)
+                right, left = value >= -spill, value < spill
                 row = np.concatenate([row[left], row[right]])
                 at = np.concatenate([at[left] * 2, at[right] * 2 + 1])
             rows.append(row)
@@ -92,7 +98,6 @@ def _compare(threshold: float):
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         code, low, high = key[1], key[2], key[3]
-        frame = frame.drop_duplicates(["vec_id", "block"])
         left, right = frame[frame.block == low], frame[frame.block == high]
         if left.empty or right.empty:
             return pd.DataFrame({"vec_id": [], "n": [], "other": []})
@@ -173,10 +178,12 @@ def near_duplicates(
 
     Vectors of one label, not null, are linked when their cosine in double precision reaches ``threshold``.  A null vector, one of zeros, or one
     with null or non-finite parts links with nothing; vectors of different lengths are never compared.  Rows that repeat id,
-    label and vector come out once; a null id links with nothing and is kept.
+    label and vector come out once; a null id links with nothing and is kept.  Rows that share an id but not the vector are linked
+    each, and an id may be of any type that sorts.
 
     Equal vectors of a label are one vector with a count.  The splits of the trees are fitted on a hash-drawn sample of about ``sample_rows``
-    vectors and sent to all tasks; every vector is then put into its leaves, with those near a split on both sides.
+    vectors and sent to all tasks; every vector is then put into its leaves, with those near a split on both sides while they are in fewer than
+    ``COPIES`` leaves of a tree: a vector is in at most a few leaves of each tree, however deep it is.
     Within a leaf all pairs are compared as matrix products, a leaf of over 1,024 rows in pairs of blocks by different tasks, so
     no leaf is capped.  Counts and edges leave the tasks, never all pairs; the edges are united to components.
     """
@@ -187,16 +194,20 @@ def near_duplicates(
     made = materialize(rows.mapInArrow(_prepared, schema).dropDuplicates(["vec_id", "label", "digest"]), "vectors")
     good = made.filter("unit is not null and vec_id is not null")
     group = F.concat_ws(":", F.size("unit").cast("string"), F.col("label"))
+    # equal vectors of a label are searched once, under a number of their own: rows that repeat an id may hold different vectors
     copies = good.groupBy("label", "digest").agg(F.min("vec_id").alias("owner"), F.count("*").alias("copies"))
-    owners = good.join(copies, ["label", "digest"])
+    once = good.select("vec_id", "label", "digest", group.alias("group"), "unit").join(
+        copies.withColumnRenamed("owner", "vec_id"), ["label", "digest", "vec_id"]
+    )
+    number = F.monotonically_increasing_id().alias("vec_id")
     unique = materialize(
-        owners.filter("vec_id = owner").select("vec_id", group.alias("group"), "unit", "copies"), "unique-vectors"
+        once.select(number, F.col("vec_id").alias("owner"), "label", "digest", "group", "unit", "copies"), "unique-vectors"
     )
     sizes = unique.groupBy("group").agg(F.count("*").alias("rows"), F.first(F.size("unit")).alias("dim"))
     summary = sizes.groupBy("dim").agg(F.sum("rows").alias("rows"), F.max("rows").alias("largest"))
     parts = []
     for dim, n, largest in summary.orderBy("dim").collect():  # one row per length of a vector
-        same = unique.filter(F.size("unit") == dim)
+        same = unique.filter(F.size("unit") == dim).select("vec_id", "group", "unit", "copies")
         drawn = same.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample_rows / n))))
         sample = drawn.select("unit").toArrow()["unit"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
         forest = spark.sparkContext.broadcast(Forest(sample, largest, trees, leaf_rows, spill, SEED))
@@ -205,20 +216,23 @@ def near_duplicates(
     for part in parts:
         found = part if found is None else found.unionByName(part)
     if found is None:
-        links = spark.createDataFrame([], f"vec_id {id_type}, n bigint, other {id_type}")
+        links = spark.createDataFrame([], "vec_id bigint, n bigint, other bigint")
     else:
-        links = _links(materialize(found, "leaves"), threshold, id_type)
+        links = _links(materialize(found, "leaves"), threshold)
     links = materialize(links, "vector-links")
-    counts = links.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    roots = components(links.select(F.col("vec_id").alias("a"), F.col("other").alias("b")).distinct())
-    of_owner = owners.select("vec_id", "label", "digest", "owner", "copies")
-    joined = of_owner.join(counts.withColumnRenamed("vec_id", "__linked"), F.col("owner") == F.col("__linked"), "left")
-    joined = joined.join(roots, F.col("owner") == F.col("node"), "left")
-    linked = joined.select(
-        "vec_id",
+    counts = links.groupBy(F.col("vec_id").alias("number")).agg(F.sum("n").alias("n"))
+    roots = materialize(components(links.select(F.col("vec_id").alias("a"), F.col("other").alias("b")).distinct()), "vector-roots")
+    owners = unique.select(F.col("vec_id").alias("number"), "owner", "label", "digest", "copies")
+    least = owners.join(roots, F.col("number") == F.col("node")).groupBy("root").agg(F.min("owner").alias("least"))
+    placed = roots.join(least, "root").select(F.col("node").alias("number"), "least")
+    classes = owners.join(counts, "number", "left").join(placed, "number", "left")
+    classes = classes.select(
+        "label",
+        "digest",
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"),
-        F.coalesce("root", "owner").alias("component_id"),
+        F.coalesce("least", "owner").alias("component_id"),
     )
+    linked = good.select("vec_id", "label", "digest").join(classes, ["label", "digest"]).drop("label", "digest")
     alone = made.filter("unit is null or vec_id is null")
     alone = alone.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -245,7 +259,7 @@ def _in_leaves(unique: DataFrame, forest) -> DataFrame:
     return unique.mapInArrow(run, f"{fields}, codes array<bigint>, code bigint")
 
 
-def _links(leaves: DataFrame, threshold: float, id_type: str) -> DataFrame:
+def _links(leaves: DataFrame, threshold: float) -> DataFrame:
     sizes = leaves.groupBy("group", "code").agg(F.count("*").alias("rows")).filter("rows > 1")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     placed = leaves.join(sizes, ["group", "code"]).withColumn("blocks", blocks)
@@ -264,5 +278,5 @@ def _links(leaves: DataFrame, threshold: float, id_type: str) -> DataFrame:
         "codes",
     )
     return placed.groupBy("group", "code", "low", "high").applyInPandas(
-        _compare(threshold), f"vec_id {id_type}, n bigint, other {id_type}"
+        _compare(threshold), "vec_id bigint, n bigint, other bigint"
     )
