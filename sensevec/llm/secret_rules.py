@@ -42,7 +42,12 @@ MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    # to the END line, or where it is missing to the end of what looks like the key's lines
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+        r"(?:[A-Za-z0-9+/=:,\s-]*?-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{16,})*(?:\s+[A-Za-z0-9+/]+={1,2})?)",
+    ),
 )
 RULES = BASE_RULES + MORE_RULES
 

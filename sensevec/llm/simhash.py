@@ -194,17 +194,35 @@ def within_radius(queries: DataFrame, stored: DataFrame, radius: int = RADIUS, b
     return pairs.filter(near & (first == F.col("table"))).select("query", "found")
 
 
+def found_within(made: DataFrame, asks: Column, radius: int = RADIUS) -> DataFrame:
+    """``(query, n_within, rows_within, first_within)`` for the fingerprints ``own`` of the rows where ``asks`` holds.
+
+    The search returns pairs of distinct fingerprints; each stands for its rows, copies included: ``n_within`` counts the other
+    fingerprints within the radius, ``rows_within`` all rows behind them and behind the asked one, ``first_within`` is their smallest id.
+    """
+    stored = materialize(
+        made.groupBy(F.col("own").alias("fingerprint")).agg(F.count("*").alias("rows"), F.min("doc_id").alias("first")), "stored"
+    )
+    queries = made.filter(asks).select(F.col("own").alias("fingerprint"))
+    pairs = within_radius(queries, stored.select("fingerprint"), radius)
+    return pairs.join(stored, F.col("found") == F.col("fingerprint")).groupBy("query").agg(
+        (F.count("*") - 1).alias("n_within"), F.sum("rows").alias("rows_within"), F.min("first").alias("first_within")
+    )
+
+
 def report(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Fingerprints of ``compare_edited`` as text, and for ids divisible by 100 ``n_within``: other distinct fingerprints
-    within the radius among all rows (null for the other rows)."""
+    """Fingerprints of ``compare_edited`` as text, and for ids divisible by 100 what the search finds among all rows.
+
+    ``n_within`` counts other distinct fingerprints within the radius, ``rows_within`` the other rows with these or with the same
+    fingerprint, ``first_within`` is the smallest id of all those rows and the row itself; all three are null for the other rows.
+    """
     made = materialize(compare_edited(docs), "fingerprints")
     asks = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
-    own = made.select(F.col("own").alias("fingerprint"))
-    queries = made.filter(asks).select(F.col("own").alias("fingerprint"))
-    found = within_radius(queries, own, radius).filter("query <> found").groupBy("query").agg(F.count("*").alias("n_within"))
+    found = found_within(made, asks, radius)
     asked = made.filter(asks).join(found, F.col("own") == F.col("query"), "left").drop("query")
-    asked = asked.withColumn("n_within", F.coalesce("n_within", F.lit(0)))
-    rows = asked.unionByName(made.filter(~asks).withColumn("n_within", F.lit(None).cast("bigint")))
+    asked = asked.withColumn("rows_within", F.col("rows_within") - 1)
+    none = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("n_within", "rows_within", "first_within")]
+    rows = asked.unionByName(made.filter(~asks).select("*", *none))
     return rows.select(
         "doc_id",
         "n_chars",
@@ -214,4 +232,6 @@ def report(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         "near_edited",
         "near_next",
         "n_within",
+        "rows_within",
+        "first_within",
     )
