@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import materialize
 
-BETWEEN = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+BETWEEN = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # what stands between terms; only A to Z are lower-cased
+BYTES_AT_ONCE = 1 << 22
 FEWEST_DOCS = 30  # of a language with a term that counts
 TOP_TERMS = 50
 GROUP_BLOCK = 64  # sources of one side of a cell
@@ -20,12 +23,6 @@ TERM_BLOCK = 4096  # terms of a cell, about
 UNIT, ADDED = 1_000_000_000, 5
 
 
-def terms() -> Column:
-    """Stretches of letters and non-ASCII characters; only A to Z are lower-cased."""
-    lower = F.translate(whole_text(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, BETWEEN), lambda t: t != "")
-
-
 def share(count: Column, total: Column, kept: Column) -> Column:
     """``1 + floor(10^9 (count + 5) / (total + 5 kept))`` in whole numbers that cannot overflow; ``kept`` is not 0."""
     top = F.lit(UNIT).cast("decimal(10,0)") * (count.cast("decimal(20,0)") + F.lit(ADDED).cast("decimal(1,0)"))
@@ -33,17 +30,45 @@ def share(count: Column, total: Column, kept: Column) -> Column:
     return F.call_function("div", top, below) + F.lit(1)
 
 
+def _counts_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    lists = pc.split_pattern_regex(pc.ascii_lower(batch.column("text")), BETWEEN)
+    offsets, named = lists.offsets.to_numpy(), pc.dictionary_encode(lists.flatten())
+    codes, width = named.indices.to_numpy(), len(named.dictionary) + 1
+    doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+    empty = pc.index(named.dictionary, "").as_py()
+    real = codes != empty
+    of_doc, times = np.unique(doc[real] * np.int64(width) + codes[real], return_counts=True)
+    langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+    group = langs.indices.to_numpy() * np.int64(len(sources.dictionary)) + sources.indices.to_numpy()
+    key, place = np.unique(group[of_doc // width] * width + of_doc % width, return_inverse=True)
+    n, docs = np.bincount(place, times, len(key)).astype(np.int64), np.bincount(place, minlength=len(key))
+    at = key // width
+    columns = [
+        langs.dictionary.take(pa.array(at // len(sources.dictionary))),
+        sources.dictionary.take(pa.array(at % len(sources.dictionary))),
+        named.dictionary.take(pa.array(key % width)),
+        pa.array(n),
+        pa.array(docs, pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        block = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)) // BYTES_AT_ONCE
+        cuts = np.append(np.append(0, np.flatnonzero(np.diff(block)) + 1), batch.num_rows)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                yield _counts_of(batch.slice(a, b - a))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``(lang, source, term, n, docs)``: occurrences, and documents that have the term.
+    """``(lang, source, term, n, docs)``: occurrences, and rows that have the term.
 
-    A document's terms are sorted, so the first of equal ones counts the document; counting merges in the map tasks.
+    ``docs`` is ``(text, lang, source)`` without nulls.  Tasks count what a few megabytes of text hold, Spark adds these counts up.
     """
-    listed = docs.select("lang", "source", F.sort_array(terms()).alias("t"))
-    marked = F.transform(
-        "t", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get("t", i - 1) == x), 0).otherwise(1).alias("new"))
-    )
-    each = listed.select("lang", "source", F.inline(marked))
-    return each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("new").alias("docs"))
+    counted = docs.select("text", "lang", "source").mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _cell(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
