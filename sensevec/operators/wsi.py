@@ -16,6 +16,7 @@ from .score import argmax_sense, disambiguate
 from .vocab import lookup_words
 
 MIN_WORD_WEIGHT = 500
+RECORD_KEYS = ["record", "sense_no"]
 
 
 def _nearest(words: DataFrame, window: int, keys: list[str], near: Column) -> DataFrame:
@@ -93,7 +94,7 @@ def capped_contexts(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """The first ``limit`` contexts of each sense, or all of them."""
     if limit is None:
         return rows
-    order = W.partitionBy("word", "sense").orderBy("context_id")
+    order = W.partitionBy(*(RECORD_KEYS if set(RECORD_KEYS) <= set(rows.columns) else ["word", "sense"])).orderBy("context_id")
     return rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit).drop("rn")
 
 
@@ -118,8 +119,10 @@ def weighted_contingency(
     """``(word, truth, pred, n)`` for ambiguous, known ASCII words of enough weight.
 
     ``rows`` is ``(word, weight, sense, context_id, position, words)``.  Words with one sense are dropped before
-    any context is scored.
+    any context is scored.  Rows with ``record`` and ``sense_no`` give ``(record, word, truth, pred, n)``: the truth is then the number of the sense
+    in its record, so senses of equal label and records of one word stay apart.
     """
+    by_record = set(RECORD_KEYS) <= set(rows.columns)
     wanted = ambiguous(model).filter("n_senses > 1").select("word_id", "word")
     rows = rows.filter((F.col("weight") >= min_weight) & ~F.lower("word").rlike(r"[^\x00-\x7F]"))
     rows = capped_contexts(rows.withColumn("word", F.lower("word")), max_contexts).join(wanted, "word")
@@ -129,10 +132,14 @@ def weighted_contingency(
     ctx = _collect(weighted_context_words(rows, model.vocab, window, keys, stop_words), keys)
     ctx = ctx.select("row", "ctx")
     empty = F.array().cast("array<int>")
-    occurrences = rows.select(*keys, F.col("word_id").alias("x")).join(ctx, "row", "left").select(
-        F.struct(*keys).alias("occ_id"), "x", F.coalesce("ctx", empty).alias("ctx")
+    named = keys + (RECORD_KEYS if by_record else [])
+    occurrences = rows.select(*named, F.col("word_id").alias("x")).join(ctx, "row", "left").select(
+        F.struct(*named).alias("occ_id"), "x", F.coalesce("ctx", empty).alias("ctx")
     )
     best = argmax_sense(disambiguate(occurrences, model, decoder=decoder))
+    if by_record:
+        pairs = best.select("occ_id.record", "occ_id.word", F.col("occ_id.sense_no").alias("truth"), F.col("sense").alias("pred"))
+        return pairs.groupBy("record", "word", "truth", "pred").agg(F.count("*").alias("n"))
     pairs = best.select(F.col("occ_id.word").alias("word"), F.col("occ_id.sense").alias("truth"), F.col("sense").alias("pred"))
     return pairs.groupBy("word", "truth", "pred").agg(F.count("*").alias("n"))
 
@@ -146,14 +153,19 @@ def mean_ari(
     decoder: Broadcast | None = None,
     max_contexts: int | None = None,
 ) -> DataFrame:
-    """``(words, mean_ari)``; a word with a single induced sense counts with 0."""
+    """``(words, mean_ari)``; a word with a single induced sense counts with 0.
+
+    Rows with ``record`` and ``sense_no`` count every record, as often as a word has them.
+    """
+    key = ["record", "word"] if set(RECORD_KEYS) <= set(rows.columns) else ["word"]
     cells = weighted_contingency(rows, model, window, stop_words, min_weight, decoder, max_contexts)
-    per_word = totals(cells, "word").select("word", ari_column().alias("ari"), F.lit(True).alias("scored"))
+    per_word = totals(cells, *key).select(*key, ari_column().alias("ari"), F.lit(True).alias("scored"))
     eligible = (
         rows.filter((F.col("weight") >= min_weight) & ~F.lower("word").rlike(r"[^\x00-\x7F]"))
-        .select(F.lower("word").alias("word"))
+        .withColumn("word", F.lower("word"))
+        .select(*key)
         .distinct()
         .join(model.vocab.select("word"), "word")
     )
     ari = F.when(F.col("scored"), F.col("ari")).otherwise(F.lit(0.0))
-    return eligible.join(per_word, "word", "left").agg(F.count("*").alias("words"), F.avg(ari).alias("mean_ari"))
+    return eligible.join(per_word, key, "left").agg(F.count("*").alias("words"), F.avg(ari).alias("mean_ari"))

@@ -27,8 +27,8 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(before), "part").select((F.col("before") + F.col("row")).alias("line_no"), "value")
 
 
-def numbered_file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line_no, value)`` in the order of files and of their lines, however the files are split and dealt."""
+def numbered_file_lines(spark: SparkSession, path: str, keep_file: bool = False) -> DataFrame:
+    """``(line_no, value)`` in the order of files and of their lines, however the files are split and dealt; with ``file`` if asked."""
     split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
     rows = spark.read.text(path).select(*split, F.monotonically_increasing_id().alias("id"), "value")
     rows = materialize(rows, "lines")
@@ -37,7 +37,7 @@ def numbered_file_lines(spark: SparkSession, path: str) -> DataFrame:
     sizes = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     before = sizes.select("file", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     line = F.col("before") + F.col("id") - F.col("first")
-    return rows.join(before, ["file", "start"]).select(line.alias("line_no"), "value")
+    return rows.join(before, ["file", "start"]).select(line.alias("line_no"), "value", *(["file"] if keep_file else []))
 
 
 def parse_context_lines(lines: DataFrame) -> DataFrame:
@@ -117,12 +117,20 @@ def read_weighted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NESTED_SCHEMA).json(path)
 
 
-def flatten_weighted(nested: DataFrame, *keep: str) -> DataFrame:
-    """``(word, weight, sense, sense_weight, has_utf, context_id, position, words)``; ``context_id`` counts from 1."""
-    senses = nested.select(*keep, F.lower("word").alias("word"), "weight", F.explode("senses").alias("s"))
-    rows = senses.select(*keep, "word", "weight", "s", F.posexplode("s.contexts").alias("i", "c"))
+def flatten_weighted(nested: DataFrame, *keep: str, numbered: bool = False) -> DataFrame:
+    """``(word, weight, sense, sense_weight, has_utf, context_id, position, words)``; ``context_id`` counts from 1.
+
+    ``numbered`` adds ``record`` and ``sense_no``, which keep records of one word and senses of one label apart.
+    """
+    extra = []
+    if numbered:
+        nested = materialize(nested.withColumn("record", F.monotonically_increasing_id()), "records")
+        keep, extra = (*keep, "record"), [(F.col("k") + 1).cast("int").alias("sense_no")]
+    senses = nested.select(*keep, F.lower("word").alias("word"), "weight", F.posexplode("senses").alias("k", "s"))
+    rows = senses.select(*keep, "word", "weight", "k", "s", F.posexplode("s.contexts").alias("i", "c"))
     return rows.select(
         *keep,
+        *extra,
         "word",
         "weight",
         strip_non_ascii(F.lower("s.sense")).alias("sense"),
