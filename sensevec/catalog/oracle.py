@@ -674,7 +674,8 @@ def _oracles() -> dict[str, str]:
         "values5",
     )
     o["likelihood_by_doc"] = bind(
-        "SELECT doc_id, round(avg(v), 6) AS mean, count(*) AS n FROM pairs JOIN values5 USING (x, y) GROUP BY doc_id",
+        """SELECT d.doc_id, coalesce(round(avg(s.v), 6), 0) AS mean, count(s.v) AS n
+        FROM documents d LEFT JOIN (SELECT doc_id, v FROM pairs JOIN values5 USING (x, y)) s USING (doc_id) GROUP BY d.doc_id""",
         "pairs",
         "values5",
     )

@@ -5,7 +5,6 @@ Only numpy and pyarrow are used here, so the module can be shipped to the worker
 
 from __future__ import annotations
 
-import math
 import sys
 
 import numpy as np
@@ -61,44 +60,6 @@ class Decoder:
         return out
 
 
-def exact_sum(values: list[float]) -> float:
-    """Sum rounded once; NaN, infinities and overflow come out as in plain addition."""
-    try:
-        return math.fsum(values)
-    except (ValueError, OverflowError):
-        return float(sum(values))
-
-
-def task_sums(max_keys: int):
-    """Running ``sum + error`` per key over a whole task, so a key leaves a task about once."""
-
-    def run(batches):
-        acc: dict = {}
-
-        def rows():
-            keys = list(acc)
-            columns = [pa.array(keys), *(pa.array([acc[k][i] for k in keys]) for i in range(3))]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "hi", "lo", "n"])
-
-        for batch in batches:
-            pdf = batch.to_pandas()
-            # pandas shows NULL as NaN, so the column itself tells them apart
-            pdf["valid"] = batch.column("value").is_valid().to_numpy(zero_copy_only=False)
-            for key, part in pdf.groupby("key", dropna=False):
-                hi, lo, n = acc.get(key, (0.0, 0.0, 0))
-                parts = [hi, lo, *part["value"][part["valid"]].tolist()]
-                total = exact_sum(parts)
-                error = exact_sum([*parts, -total]) if math.isfinite(total) else 0.0
-                acc[key] = (total, error, n + len(parts) - 2)
-            if len(acc) > max_keys:
-                yield rows()
-                acc = {}
-        if acc:
-            yield rows()
-
-    return run
-
-
 def list_column(values: np.ndarray, width: int) -> pa.Array:
     flat = pa.array(np.ascontiguousarray(values).reshape(-1))
     return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * width, flat)
@@ -195,6 +156,47 @@ def pair_averager(shared, min_prob: float):
     return run
 
 
+def group_codes(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row's combination of values, and a row where each number occurs."""
+    codes = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        named = column.dictionary_encode(null_encoding="encode")
+        codes = np.unique(codes * (len(named.dictionary) + 1) + named.indices.to_numpy(), return_inverse=True)[1]
+    return codes, np.unique(codes, return_index=True)[1]
+
+
+def group_averager(shared, min_prob: float, keys: list[str]):
+    """Kernel over pairs packed with the groups they occur in; emits one sum and count per row and group."""
+
+    def run(batches):
+        decoder = Decoder(*shared.value)
+        for batch in batches:
+            vecs, pis = batch.column("vecs"), batch.column("pi")
+            offsets, pairs = lists_of(batch.column("ps"))
+            if not len(pairs):
+                continue
+            y, n = pairs.field("y").to_numpy(), pairs.field("n").to_numpy()
+            codes, example = group_codes([pairs.field(k) for k in keys])
+            groups, sums, sizes = [], [], []
+            for r in range(batch.num_rows):
+                a, b = offsets[r], offsets[r + 1]
+                ks, vectors = sense_matrix(vecs[r])
+                words, place = np.unique(y[a:b], return_inverse=True)
+                value = log_mixture(decoder.loglik(vectors, words), np.asarray(pis[r].values)[ks], min_prob)
+                if value is not None:
+                    mine, at = np.unique(codes[a:b], return_inverse=True)
+                    groups.append(mine)
+                    sums.append(np.bincount(at, value[place] * n[a:b]))
+                    sizes.append(np.bincount(at, n[a:b]).astype(np.int64))
+            if groups:
+                rows = pa.array(example[np.concatenate(groups)])
+                columns = [pairs.field(k).take(rows) for k in keys]
+                columns += [pa.array(np.concatenate(sums)), pa.array(np.concatenate(sizes))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "s", "n"])
+
+    return run
+
+
 def sum_by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Rows of ``values`` added up by ``index``."""
     return np.stack([np.bincount(index, values[:, k], size) for k in range(values.shape[1])], axis=1)
@@ -259,7 +261,8 @@ def round_scorer(shared, senses: int, lr: float, threshold: float):
 
     The model is fixed during the round.  Emits partial sums ``(kind, id, sense, weight, n, vec)``:
     kind 0 is the gradient of a sense vector, 1 that of a node vector (already summed over the whole task),
-    2 the summed posteriors of a word (``n`` occurrences), 3 the log-likelihood of the task.
+    2 the summed posteriors of a word (``n`` occurrences), 3 the log-likelihood of the task.  Where occurrences tell how many
+    of their word stand ``behind`` them, posteriors are weighted by ``(1 - lr) ** behind``.
     """
 
     def run(batches):
@@ -277,6 +280,9 @@ def round_scorer(shared, senses: int, lr: float, threshold: float):
             occ_offsets, occs = lists_of(batch.column("occs"))
             ctx_offsets, ctx = lists_of(occs.field("ctx"))
             ctx = ctx.to_numpy()
+            late = None
+            if occs.type.get_field_index("behind") >= 0:
+                late = (1.0 - lr) ** occs.field("behind").to_numpy().astype(np.float64)
             for r in range(batch.num_rows):
                 a, b = occ_offsets[r], occ_offsets[r + 1]
                 ks, vectors = sense_matrix(vecs[r])
@@ -288,7 +294,7 @@ def round_scorer(shared, senses: int, lr: float, threshold: float):
                 sense_sum += float(n_senses[r]) * (b - a)
                 sense_max = max(sense_max, int(n_senses[r]))
                 full = np.zeros(senses)
-                full[ks] = z.sum(axis=0)
+                full[ks] = z.sum(axis=0) if late is None else late[a:b] @ z
                 rows.append((2, int(xs[r]), 0, 0.0, b - a, full))
                 if not len(words):
                     continue

@@ -11,6 +11,7 @@ from ..functions.mixer import uniform
 from ..functions.priors import expected_pi
 from ..functions.vectors import unit
 from .huffman import huffman_tree
+from .versions import KEEP, latest, publish
 
 IN_TABLE, OUT_TABLE = 1, 2  # the ``id2`` offset that keeps both random streams apart
 
@@ -123,23 +124,29 @@ def pruned_in(model: SenseModel, min_prob: float = 1e-5) -> DataFrame:
     return model.in_vec.join(kept, ["word_id", "sense"])
 
 
-def save_model(model: SenseModel, path: str, min_prob: float = 1e-5) -> None:
-    """One Parquet folder per table; ``meta`` goes last and marks a complete model."""
+def save_model(model: SenseModel, path: str, min_prob: float = 1e-5, keep: int = KEEP) -> int:
+    """Publish the model as a new version under ``path``: one Parquet folder per table, then the log entry that names them.
+
+    A model that was there before stays readable until the entry is written; the last ``keep`` versions are kept.
+    """
     spark = model.vocab.sparkSession
     tables = {name: getattr(model, name) for name in model.TABLES}
     tables["in_vec"] = pruned_in(model, min_prob)
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    def write(folder: str) -> None:
+        for name, df in tables.items():
+            df.write.parquet(f"{folder}/{name}")
+
     meta = spark.createDataFrame(
         [(model.alpha, model.d, model.dim, model.senses)], "alpha double, d double, dim int, senses int"
     )
-    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    return publish(spark, path, write, meta, keep)
 
 
 def load_model(spark: SparkSession, path: str) -> SenseModel:
-    """Pruned senses simply have no ``in_vec`` row."""
-    meta = spark.read.parquet(f"{path}/meta").first()
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in SenseModel.TABLES}
+    """The newest published version.  Pruned senses simply have no ``in_vec`` row."""
+    meta = latest(spark, path)
+    tables = {name: spark.read.parquet(f"{meta['at']}/{name}") for name in SenseModel.TABLES}
     return SenseModel(**tables, alpha=meta["alpha"], d=meta["d"], dim=meta["dim"], senses=meta["senses"])
 
 

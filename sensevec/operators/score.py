@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.priors import expected_logpi, expected_pi
 from ..functions.vectors import dot, log_or_neg_inf, log_sigmoid, softmax, weighted_logsumexp
-from .kernel import pair_averager, pair_scorer, pair_valuer, posterior_scorer
+from .kernel import group_averager, pair_averager, pair_scorer, pair_valuer, posterior_scorer
 from .model import SenseModel, sense_priors
 from .skew import sliced
 
@@ -180,11 +180,12 @@ def checked_side(side: DataFrame, model: SenseModel) -> DataFrame:
 def slice_occurrences(occurrences: DataFrame) -> DataFrame:
     """``(x, occs)`` groups of bounded size from ``(occ_id, x, ctx)`` rows.
 
-    A ``freq`` column with the number of rows of the word, or more, spares counting them.
+    A ``freq`` column with the number of rows of the word, or more, spares counting them.  A ``behind`` column goes along.
     """
+    extra = ["behind"] if "behind" in occurrences.columns else []
     count = F.col("freq") if "freq" in occurrences.columns else None
     cut = sliced(occurrences, "x", ["occ_id"], SLICE_ROWS, count)
-    return cut.groupBy("x", "slice").agg(F.collect_list(F.struct("occ_id", "ctx")).alias("occs")).drop("slice")
+    return cut.groupBy("x", "slice").agg(F.collect_list(F.struct("occ_id", "ctx", *extra)).alias("occs")).drop("slice")
 
 
 def posteriors(
@@ -290,14 +291,36 @@ def weighted_mean(values: DataFrame, *keys: str) -> DataFrame:
 
 
 def likelihood_by(
-    counted: DataFrame, model: SenseModel, *keys: str, min_prob: float = 1e-5, decoder: Broadcast | None = None
+    counted: DataFrame,
+    model: SenseModel,
+    *keys: str,
+    min_prob: float = 1e-5,
+    decoder: Broadcast | None = None,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
-    """``(keys, mean, n)`` over pairs counted within ``keys``.
+    """``(keys, mean, n)`` over pairs counted within ``keys``; groups without a pair get ``(0, 0)`` if ``groups (keys)`` names them.
 
-    The value of a pair is computed once, whatever number of groups it occurs in.
+    Pairs meet the vectors of their first word once, in slices of bounded size that carry the group of each pair.  A pair
+    is scored once per slice, and one sum per slice and group leaves a task.  The join form scores distinct pairs and joins them back.
     """
-    values = pair_values(counted.select("x", "y").distinct(), model, min_prob, decoder).drop("n")
-    return weighted_mean(counted.join(values, ["x", "y"]), *keys)
+    decoder = decoder or broadcast_decoder(model)
+    if decoder is None:
+        values = pair_values(counted.select("x", "y").distinct(), model, min_prob).drop("n")
+        found = weighted_mean(counted.join(values, ["x", "y"]), *keys)
+    else:
+        cut = sliced(counted, "x", [*keys, "y"], PARTNERS)
+        packed = cut.groupBy("x", "slice").agg(F.collect_list(F.struct(*keys, "y", "n")).alias("ps"))
+        vecs = model.in_vec.groupBy("word_id").agg(F.collect_list(F.struct("sense", "vec")).alias("vecs"))
+        side = vecs.join(sense_priors(model), "word_id").withColumnRenamed("word_id", "x")
+        rows = packed.join(checked_side(side, model), "x").select("vecs", "pi", "ps")
+        fields = ", ".join(f"`{k}` {counted.schema[k].dataType.simpleString()}" for k in keys)
+        partial = rows.mapInArrow(group_averager(decoder, min_prob, list(keys)), f"{fields}, s double, n bigint")
+        mean = F.coalesce(F.try_divide(F.sum("s"), F.sum("n")), F.lit(0.0))
+        found = partial.groupBy(*keys).agg(mean.alias("mean"), F.sum("n").alias("n"))
+    if groups is None:
+        return found
+    filled = groups.select(*keys).distinct().join(found, list(keys), "left")
+    return filled.select(*keys, F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def merge_means(stats: DataFrame, *keys: str) -> DataFrame:
