@@ -23,12 +23,13 @@ KMERS = 3  # minimum k-mers of a sketch
 FURTHER = ((1, 15, 20, 2, 1), (12, 60, 30, 2, 2), (45, 1 << 62, 50, 3, 2))
 SIMILARITY = 0.8
 PAIRED = 32  # members of a bucket up to which each is compared with each of other classes
-BLOCK_ROWS = 1024  # larger buckets are compared block by block
+BLOCK_ROWS = 256  # larger buckets are compared block by block
 BLOCK_WORDS = 1 << 20  # that the texts of a block have together, about
 BINS = 128  # of the word counts that rule pairs out
+FINE_BINS = 1024  # where the words are at hand
 MOST_OF_BIN = 255  # counts are cut off there, which can only leave more pairs open
 ROWS_AT_ONCE = 64
-BOUNDS_AT_ONCE = 1 << 14
+COUNTS_AT_ONCE = 1 << 21
 HASHES_AT_ONCE = 1 << 21
 PAIRS_AT_ONCE = 512
 
@@ -143,7 +144,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BINS).astype(np.int32)
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BINS).astype(np.int16)
 
 
 def _open(similarity: float):
@@ -196,12 +197,12 @@ def _each(members: DataFrame) -> DataFrame:
     return a.join(b, "bucket").filter("a < b and root_a <> root_b").select("a", "b")
 
 
-def _bins(words: list[np.ndarray]) -> np.ndarray:
+def _bins(words: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     """How many words of each text have a hash of each residue, up to ``MOST_OF_BIN``."""
-    out = np.zeros((len(words), BINS), np.int32)
+    out = np.zeros((len(words), bins), np.int16)
     for k, x in enumerate(words):
-        out[k] = np.bincount(x & (BINS - 1), minlength=BINS)
-    return np.minimum(out, MOST_OF_BIN)
+        out[k] = np.minimum(np.bincount(x & (bins - 1), minlength=bins), MOST_OF_BIN)
+    return out
 
 
 def _possible(one: tuple, two: tuple, similarity: float) -> np.ndarray:
@@ -211,6 +212,37 @@ def _possible(one: tuple, two: tuple, similarity: float) -> np.ndarray:
     return np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= limits
 
 
+def _earlier(codes: list[np.ndarray], bucket: int) -> np.ndarray:
+    """For each member a mark for every large bucket with a smaller number that it is in: pairs with a common mark are compared there."""
+    earlier = [x[x < bucket] for x in codes]
+    known, place = np.unique(np.concatenate(earlier), return_inverse=True)
+    table = np.zeros((len(codes), len(known)), np.float32)
+    table[np.repeat(np.arange(len(codes)), [len(x) for x in earlier]), place] = 1
+    return table
+
+
+def _open_pairs(frame: pd.DataFrame, key: tuple, bins: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs ``(a, b)`` of two blocks of a bucket that lengths and word counts leave open and that no earlier bucket has, with class labels."""
+    left, right = (np.flatnonzero(frame.block.to_numpy() == k) for k in key[1:3])
+    sizes, earlier = frame.n.to_numpy(), _earlier([np.asarray(x, np.int64) for x in frame.codes], key[0])
+    label = np.unique(frame.root.to_numpy(), return_inverse=True)[1]
+    for first in range(0, len(left), ROWS_AT_ONCE):
+        rows = left[first : first + ROWS_AT_ONCE]
+        limits = (1.0 - similarity) * np.maximum(sizes[rows][:, None], sizes[right][None, :]) + 1e-9
+        open_ = (label[rows][:, None] != label[right][None, :]) & (np.abs(sizes[rows][:, None] - sizes[right][None, :]) <= limits)
+        if key[1] == key[2]:
+            open_ &= rows[:, None] < right[None, :]
+        if open_.any():
+            open_ &= earlier[rows] @ earlier[right].T == 0
+        a, b = np.nonzero(open_)
+        a, b = rows[a], right[b]
+        at_once = COUNTS_AT_ONCE // bins.shape[1]
+        parts = [slice(k, k + at_once) for k in range(0, len(a), at_once)]
+        kept = [_possible((sizes[a[p]], bins[a[p]]), (sizes[b[p]], bins[b[p]]), similarity) for p in parts]
+        kept = np.concatenate([*kept, np.zeros(0, bool)])
+        yield a[kept], b[kept], label
+
+
 def _linked_blocks(similarity: float):
     """Links that join the classes of two blocks of a bucket.
 
@@ -218,23 +250,9 @@ def _linked_blocks(similarity: float):
     """
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = (np.flatnonzero(frame.block.to_numpy() == k) for k in key[1:3])
         words = [np.asarray(x, np.int64) for x in frame.words]
-        sizes, bins = np.array([len(x) for x in words]), _bins(words)
-        label = np.unique(frame.root.to_numpy(), return_inverse=True)[1]
         edges = []
-        for first in range(0, len(left), ROWS_AT_ONCE):
-            rows = left[first : first + ROWS_AT_ONCE]
-            limits = (1.0 - similarity) * np.maximum(sizes[rows][:, None], sizes[right][None, :]) + 1e-9
-            open_ = (label[rows][:, None] != label[right][None, :]) & (np.abs(sizes[rows][:, None] - sizes[right][None, :]) <= limits)
-            if key[1] == key[2]:
-                open_ &= rows[:, None] < right[None, :]
-            a, b = np.nonzero(open_)
-            a, b = rows[a], right[b]
-            parts = [slice(k, k + BOUNDS_AT_ONCE) for k in range(0, len(a), BOUNDS_AT_ONCE)]
-            kept = [_possible((sizes[a[p]], bins[a[p]]), (sizes[b[p]], bins[b[p]]), similarity) for p in parts]
-            kept = np.concatenate([*kept, np.zeros(0, bool)])
-            a, b = a[kept], b[kept]
+        for a, b, label in _open_pairs(frame, key, _bins(words, FINE_BINS), similarity):
             while True:
                 unlike = label[a] != label[b]
                 a, b = a[unlike], b[unlike]
@@ -258,20 +276,9 @@ def _open_blocks(similarity: float):
     """Texts of two blocks of a bucket that sizes and word counts leave open to one of another class."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = (np.flatnonzero(frame.block.to_numpy() == k) for k in key[1:3])
-        sizes, bins = frame.n.to_numpy(), _unpacked(frame.bins)
-        label = np.unique(frame.root.to_numpy(), return_inverse=True)[1]
         found = np.zeros(len(frame), bool)
-        for first in range(0, len(left), ROWS_AT_ONCE):
-            rows = left[first : first + ROWS_AT_ONCE]
-            limits = (1.0 - similarity) * np.maximum(sizes[rows][:, None], sizes[right][None, :]) + 1e-9
-            open_ = (label[rows][:, None] != label[right][None, :]) & (np.abs(sizes[rows][:, None] - sizes[right][None, :]) <= limits)
-            a, b = np.nonzero(open_)
-            a, b = rows[a], right[b]
-            for k in range(0, len(a), BOUNDS_AT_ONCE):
-                x, y = a[k : k + BOUNDS_AT_ONCE], b[k : k + BOUNDS_AT_ONCE]
-                may = _possible((sizes[x], bins[x]), (sizes[y], bins[y]), similarity)
-                found[x[may]] = found[y[may]] = True
+        for a, b, _ in _open_pairs(frame, key, _unpacked(frame.bins), similarity):
+            found[a] = found[b] = True
         return pd.DataFrame({"bucket": key[0], "text_key": frame.text_key[found].to_numpy()}, dtype=object)
 
     return run
@@ -290,16 +297,21 @@ def _in_blocks(members: DataFrame, weight: Column) -> DataFrame:
 def _block_links(large: DataFrame, texts: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """``(a, b)``: links that join the classes of large buckets ``(bucket, text_key, root)``, whose members are cut into blocks.
 
-    Word counts alone first tell which members may have a partner in another class; only those come with their words.
+    Word counts alone first tell which members may have a partner in another class; only those come with their words.  A pair that shares
+    several of these buckets is compared in the first of them: members carry the numbers of theirs.
     """
     kind = _kind(texts)
-    rows = large.select("bucket", "text_key", "root").join(marks, "text_key")
+    # a text is in at most as many buckets as it has sketches
+    codes = large.groupBy("text_key").agg(F.sort_array(F.collect_list("bucket")).alias("codes"))
+    rows = large.select("bucket", "text_key", "root").join(marks, "text_key").join(codes, "text_key")
+    rows = materialize(rows, "large-buckets")
     bucket = rows.schema["bucket"].dataType.simpleString()
     counted = _in_blocks(rows, F.lit(0)).groupBy("bucket", "low", "high")
     open_ = counted.applyInPandas(_open_blocks(similarity), f"bucket {bucket}, text_key {kind}").distinct()
     left = materialize(rows.drop("bins").join(open_, ["bucket", "text_key"], "left_semi"), "open")
-    placed = _in_blocks(left, F.col("n")).drop("n").join(texts, "text_key")
+    placed = _in_blocks(left, F.col("n")).join(texts, "text_key")
     found = materialize(placed.groupBy("bucket", "low", "high").applyInPandas(_linked_blocks(similarity), f"a {kind}, b {kind}"), "block-links")
+    discard(rows)
     discard(left)
     return found
 
