@@ -15,8 +15,9 @@ from ..operators import model as M
 from ..operators import vocab as V
 from ..operators.huffman import huffman_tree
 from ..operators.score import broadcast_decoder
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.corpus import read_documents, scan_simple_tokens, scan_words, spread
+from ..sources.nested import write_nested
 
 MIN_FREQ = 20
 WINDOW = 4
@@ -153,6 +154,30 @@ class Fixture:
             F.array(sense).alias("senses"),
         )
 
+    def nested_records(self) -> DataFrame:
+        """Records with several senses and contexts: two records of a word, two senses whose labels differ by a letter that is stripped."""
+        lang = self.table("documents").select("doc_id", "lang")
+        rows = self.instances().join(lang, "doc_id").withColumn("word", F.substring_index("key", ".", 1))
+        rows = rows.join(self.vocab.select("word", "freq"), "word")
+        record, accent = F.col("doc_id") % 2, F.floor(F.col("doc_id") / 2) % 2
+        rows = rows.withColumn("record", record).withColumn("accent", accent)
+        context = F.struct("doc_id", F.struct("position", F.col("ws").alias("words")).alias("c"))
+        senses = rows.groupBy("word", "freq", "record", "lang", "accent").agg(F.sort_array(F.collect_list(context)).alias("contexts"))
+        label = F.concat("lang", F.when(F.col("accent") == 1, F.lit("\u00e9")).otherwise(F.lit(""))).alias("sense")
+        sense = F.struct(label, F.lit(1).alias("weight"), F.col("contexts.c").alias("contexts"))
+        one = F.struct("lang", "accent", sense.alias("s"))
+        words = senses.groupBy("word", "freq", "record").agg(F.sort_array(F.collect_list(one)).alias("all"))
+        return words.select(
+            F.col("word").alias("plain_word"), "word", F.col("freq").cast("int").alias("weight"), F.col("all.s").alias("senses")
+        )
+
+    @cached_property
+    def nested_file(self) -> str:
+        """These records as files in the nested line format."""
+        path = scratch_path(self.spark, "nested")
+        write_nested(self.nested_records(), path)
+        return path
+
     def labels(self) -> DataFrame:
         """Line items as instances: the line number is the key, two flags are the labellings."""
         return self.table("lineitem").select(

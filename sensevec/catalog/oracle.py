@@ -304,6 +304,19 @@ RELATIONS["nested_cells"] = (
 )
 RELATIONS["nested_cells"] = (("nested_s",), RELATIONS["nested_cells"][1])
 
+RELATIONS["nested_numbers"] = (
+    ("inst", "vocab"),
+    """SELECT doc_id, word, freq AS weight, lang, rec, accent, m, ws,
+        dense_rank() OVER (PARTITION BY word, rec ORDER BY lang, accent) AS sense_no,
+        row_number() OVER (PARTITION BY word, rec, lang, accent ORDER BY doc_id) AS context_id
+    FROM (SELECT *, doc_id % 2 AS rec, (doc_id // 2) % 2 AS accent FROM inst JOIN vocab USING (word))""",
+)
+RELATIONS["ordered_tokens"] = (
+    ("tokens",),
+    """SELECT *, row_number() OVER (ORDER BY doc_id, chunk_id, pos) - 1 AS at,
+        row_number() OVER (PARTITION BY word_id ORDER BY doc_id DESC, chunk_id DESC, pos DESC) - 1 AS behind FROM tokens""",
+)
+
 RELATIONS["requests"] = (
     ("inst", "vocab"),
     f"""SELECT doc_id, side, p, v.word_id FROM (
@@ -484,6 +497,23 @@ def _oracles() -> dict[str, str]:
         "inst",
         "vocab",
     )
+    o["wwsi_nested_file"] = bind(
+        """SELECT word, weight::INT AS weight, sense_no, lang AS sense, 1 AS sense_weight, accent = 1 AS has_utf, context_id,
+            m - 1 AS position, array_to_string(ws, ' ') AS text FROM nested_numbers""",
+        "nested_numbers",
+    )
+    o["stop_word_file"] = bind("SELECT word FROM stop_words", "stop_words")
+    o["model_vectors"] = bind(
+        f"""SELECT word_id, sense, i, round(vec[i + 1]::DOUBLE, 6) AS value
+        FROM in_vec JOIN prior USING (word_id), range(0, {DIM}) r(i)
+        WHERE (CASE sense WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END) >= {KEEP}""",
+        "in_vec",
+        "prior",
+    )
+    o["reading_order"] = bind(
+        "SELECT doc_id, min(at) AS first, max(at) AS last, count(*) AS n FROM ordered_tokens GROUP BY doc_id", "ordered_tokens"
+    )
+    o["later_occurrences"] = bind("SELECT doc_id, chunk_id, pos, behind FROM ordered_tokens", "ordered_tokens")
     o["tokenize_simple"] = f"SELECT page_id, {simple('html')} AS tokens FROM pages"
     o["clean_tokens"] = rf"""SELECT conv_id, turn, lower(array_to_string(list_filter(
         string_split_regex(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '{WHITE}'),
@@ -628,6 +658,16 @@ def _oracles() -> dict[str, str]:
         "sense_counts",
         "train_z",
     )
+    late = ", ".join(f"sum(z{k} * pow(1 - {LR}, behind)) AS t{k}" for k in KS)
+    in_order = ", ".join(f"round(c{k} * {keep} + {LR} * freq * t{k}, 5) AS c{k}" for k in KS)
+    o["ordered_counts"] = bind(
+        f"""SELECT word_id, {in_order} FROM sense_counts JOIN vocab USING (word_id) JOIN (
+            SELECT x, count(*) AS m, {late} FROM train_z JOIN ordered_tokens USING (doc_id, chunk_id, pos) GROUP BY x) ON x = word_id""",
+        "sense_counts",
+        "vocab",
+        "train_z",
+        "ordered_tokens",
+    )
     o["lr_schedule"] = bind(
         f"""SELECT epoch, lang, read, round(greatest({LR} * (1 - read / (total + 1.0)), {LR * 1e-4}), 9) AS rate FROM (
             SELECT epoch, lang, coalesce(sum(n) OVER (ORDER BY epoch, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
@@ -660,6 +700,19 @@ def _oracles() -> dict[str, str]:
         "in_vec",
         "sense_counts",
     )
+    o["nearest_words"] = bind(
+        """SELECT word, sense, round(sim, 6) AS sim FROM (
+            SELECT c.word_id, c.sense, list_dot_product(c.v, q.v) / (c.len * q.len) AS sim FROM
+                (SELECT word_id, sense, vec::DOUBLE[] AS v, sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) AS len
+                FROM in_vec JOIN sense_counts USING (word_id)
+                WHERE (CASE sense WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END) >= 1) c,
+                (SELECT vec::DOUBLE[] AS v, sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) AS len
+                FROM in_vec WHERE word_id = 1 AND sense = 1) q
+            WHERE NOT (c.word_id = 1 AND c.sense = 1)) JOIN vocab USING (word_id) ORDER BY sim DESC, word_id, sense LIMIT 10""",
+        "in_vec",
+        "sense_counts",
+        "vocab",
+    )
     o["nearest_neighbors_batch"] = bind(
         """SELECT query_id, rank, word_id, round(sim, 6) AS sim FROM (
             SELECT query_id, word_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, word_id) AS rank FROM (
@@ -688,6 +741,11 @@ def _oracles() -> dict[str, str]:
         "pair_counts",
         "values_wide",
     )
+    o["likelihood_log"] = bind(
+        "SELECT doc_id, chunk_id, round(avg(v), 6) AS mean, count(*) AS n FROM pairs JOIN values_wide USING (x, y) GROUP BY doc_id, chunk_id",
+        "pairs",
+        "values_wide",
+    )
     RELATIONS["pairs"] = saved
     o["sense_inventory"] = bind(
         f"SELECT word, sense, p FROM ({long('p', 'p', 'prior', 'word_id')}) JOIN vocab USING (word_id)", "prior", "vocab"
@@ -699,6 +757,13 @@ def _oracles() -> dict[str, str]:
 
     o["wsi_predict"] = bind("SELECT key, instance, sense FROM inst_best", "inst_best")
     o["wwsi_contingency"] = bind("SELECT word, truth, pred, n FROM nested_cells", "nested_cells")
+    o["wwsi_record_cells"] = bind(
+        """SELECT word, truth, pred, count(*) AS n FROM (
+            SELECT b.word, rec, sense_no AS truth, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 1 WHEN s2 >= s3 THEN 2 ELSE 3 END AS pred
+            FROM nested_s b JOIN nested_numbers ON doc_id = b.context_id) GROUP BY word, rec, truth, pred""",
+        "nested_s",
+        "nested_numbers",
+    )
     o["wwsi_mean_ari"] = bind(
         f"""SELECT count(*) AS words, round(avg(CASE WHEN t.word IS NULL THEN 0 ELSE {ARI} END), 6) AS mean_ari
         FROM (SELECT DISTINCT word FROM inst JOIN vocab USING (word) WHERE freq >= 500) e LEFT JOIN nested_totals t USING (word)""",

@@ -16,6 +16,7 @@ from ..operators import huffman as H
 from ..operators import metrics as E
 from ..operators import model as M
 from ..operators import neighbors as N
+from ..operators import reading as RO
 from ..operators import score as S
 from ..operators import summation as K
 from ..operators import train as R
@@ -26,6 +27,7 @@ from ..plans.train import TrainParams, train
 from ..session import materialize, scratch_path
 from ..sources import dictionary as D
 from ..sources import vectors as XS
+from ..sources import nested as NS
 from ..sources import wsi as WS
 from ..streaming import counts as stream_counts
 from ..streaming import score as stream_score
@@ -180,6 +182,29 @@ def wwsi_contexts(f: Fixture) -> DataFrame:
     )
 
 
+@query
+def wwsi_nested_file(f: Fixture) -> DataFrame:
+    """Contexts read from files in which lines are nested by counts."""
+    rows = NS.read_nested(f.spark, f.nested_file)
+    kept = ["word", "weight", "sense_no", "sense", "sense_weight", "has_utf", "context_id", "position"]
+    return rows.select(*kept, F.array_join("words", " ").alias("text"))
+
+
+@query
+def stop_word_file(f: Fixture) -> DataFrame:
+    path = scratch_path(f.spark, "stop-words")
+    f.stop_words().select(F.col("word").alias("value")).write.text(path)
+    return D.read_stop_words(f.spark, path).select("word")
+
+
+@query
+def model_vectors(f: Fixture) -> DataFrame:
+    """Vectors of the senses that a saved model keeps, as they are read back."""
+    path = scratch_path(f.spark, "model")
+    M.save_model(f.model, path, KEEP)
+    return _cells(M.load_model(f.spark, path).in_vec, "word_id", "sense")
+
+
 @query
 def tokenize_simple(f: Fixture) -> DataFrame:
     return f.table("pages").select("page_id", T.simple_tokenize(F.col("html")).alias("tokens"))
@@ -353,6 +378,24 @@ def wwsi_context(f: Fixture) -> DataFrame:
     return wsi.weighted_context_words(_weighted_rows(f), f.vocab, WSI_WINDOW, keys, f.stop_words())
 
 
+@query
+def reading_order(f: Fixture) -> DataFrame:
+    """Where the tokens of each document stand in the whole corpus."""
+    placed = RO.numbered(f.tokens())
+    return placed.groupBy("doc_id").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"))
+
+
+def _ordered(f: Fixture) -> DataFrame:
+    around = C.contexts(materialize(RO.numbered(f.tokens()), "numbered"), WINDOW)
+    named = F.struct("doc_id", "chunk_id", "pos").alias("occ_id")
+    return RO.followers(around.select(named, F.col("word_id").alias("x"), "ctx", "at"), ["x"])
+
+
+@query
+def later_occurrences(f: Fixture) -> DataFrame:
+    return _ordered(f).select("occ_id.*", "behind")
+
+
 # --- priors and scalar functions ----------------------------------------------------------------------------
 
 
@@ -484,6 +527,14 @@ def update_counts(f: Fixture) -> DataFrame:
     return counts.select("word_id", *_wide(counts, "counts", "c", 5))
 
 
+@query
+def ordered_counts(f: Fixture) -> DataFrame:
+    """Counts after one update per occurrence, in reading order."""
+    occ = _ordered(f).select("occ_id", "x", "ctx", "behind")
+    counts = R.apply_ordered_counts(f.model, R.model_sums(occ, f.model, LR, THRESHOLD, f.decoder), LR)
+    return counts.select("word_id", *_wide(counts, "counts", "c", 5))
+
+
 @query
 def lr_schedule(f: Fixture) -> DataFrame:
     """Rate at the start of each round when the languages are read one after the other, twice."""
@@ -595,6 +646,22 @@ def parallel_likelihood(f: Fixture) -> DataFrame:
     return S.merge_means(stats).select(rounded("mean"), "n")
 
 
+@query
+def likelihood_log(f: Fixture) -> DataFrame:
+    """The log of batch means, written and read back."""
+    tokens = C.chunked(f.kept().drop("chunk_id"), LIKELIHOOD_BATCH)
+    pairs = materialize(C.pair_counts(C.context_pairs(tokens, WSI_WINDOW), "doc_id", "chunk_id"), "batch-pairs")
+    stats = S.likelihood_by(pairs, f.model, "doc_id", "chunk_id", min_prob=0.005, decoder=f.decoder)
+    return materialize(stats, "likelihood-log").select("doc_id", "chunk_id", rounded("mean"), "n")
+
+
+@query
+def nearest_words(f: Fixture) -> DataFrame:
+    """Neighbours of the most frequent word, by words."""
+    word = f.vocab.filter("word_id = 1").first()["word"]
+    return N.nearest_words(f.model, word, 1).select("word", "sense", rounded("sim"))
+
+
 @query
 def sense_inventory(f: Fixture) -> DataFrame:
     return M.sense_inventory(f.model).select("word", "sense", rounded("p"))
@@ -620,6 +687,14 @@ def wwsi_contingency(f: Fixture) -> DataFrame:
     return wsi.weighted_contingency(rows, f.model, WSI_WINDOW, f.stop_words(), decoder=f.decoder)
 
 
+@query
+def wwsi_record_cells(f: Fixture) -> DataFrame:
+    """Contingency by record and number of the sense, from the nested files."""
+    rows = NS.read_nested(f.spark, f.nested_file)
+    cells = wsi.weighted_contingency(rows, f.model, WSI_WINDOW, f.stop_words(), decoder=f.decoder)
+    return cells.select("word", "truth", "pred", "n")
+
+
 @query
 def wwsi_mean_ari(f: Fixture) -> DataFrame:
     scored = wsi.mean_ari(_weighted_rows(f), f.model, WSI_WINDOW, f.stop_words(), decoder=f.decoder)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.priors import expected_logpi, expected_pi
 from ..functions.vectors import dot, log_or_neg_inf, log_sigmoid, softmax, weighted_logsumexp
+from ..session import materialize
 from .kernel import group_averager, pair_averager, pair_scorer, pair_valuer, posterior_scorer
 from .model import SenseModel, sense_priors
 from .skew import sliced
@@ -168,24 +169,31 @@ def word_side(model: SenseModel, prior: str, min_prob: float = 1e-3) -> DataFram
     return vecs.join(start_scores(model, prior, min_prob), "word_id").withColumnRenamed("word_id", "x")
 
 
-def checked_side(side: DataFrame, model: SenseModel) -> DataFrame:
-    """``side``, one row per word, marked for a broadcast if its vectors stay below ``SIDE_BYTES``.
+def meet_side(groups: DataFrame, side: DataFrame, model: SenseModel, written: bool = False) -> DataFrame:
+    """Groups ``(x, slice, ...)`` beside the row of their word in ``side``.
 
-    The slices of a hot word then stay where they were built instead of meeting again in a shuffle by word.
+    If the vectors of all words stay below ``SIDE_BYTES`` the side is broadcast, and groups stay where they were built.  Otherwise a word's
+    row is repeated once per slice and meets the groups by word and slice, so a hot word spreads over as many tasks as it has
+    slices and no rows are shuffled by word alone.  Groups are written before, unless they come from a table (``written``).
     """
     size = model.vocab.count() * (model.senses * (model.dim + 3) + 4) * 8
-    return F.broadcast(side) if size <= SIDE_BYTES else side
+    if size <= SIDE_BYTES:
+        return groups.drop("slice").join(F.broadcast(side), "x")
+    groups = groups if written else materialize(groups, "slices")
+    slices = groups.groupBy("x").agg((F.max("slice") + 1).alias("slices"))
+    repeated = side.join(slices, "x").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
+    return groups.join(repeated.drop("slices"), ["x", "slice"]).drop("slice")
 
 
 def slice_occurrences(occurrences: DataFrame) -> DataFrame:
-    """``(x, occs)`` groups of bounded size from ``(occ_id, x, ctx)`` rows.
+    """``(x, slice, occs)`` groups of bounded size from ``(occ_id, x, ctx)`` rows.
 
     A ``freq`` column with the number of rows of the word, or more, spares counting them.  A ``behind`` column goes along.
     """
     extra = ["behind"] if "behind" in occurrences.columns else []
     count = F.col("freq") if "freq" in occurrences.columns else None
     cut = sliced(occurrences, "x", ["occ_id"], SLICE_ROWS, count)
-    return cut.groupBy("x", "slice").agg(F.collect_list(F.struct("occ_id", "ctx", *extra)).alias("occs")).drop("slice")
+    return cut.groupBy("x", "slice").agg(F.collect_list(F.struct("occ_id", "ctx", *extra)).alias("occs"))
 
 
 def posteriors(
@@ -200,7 +208,7 @@ def posteriors(
     if decoder is None:
         return posteriors_joined(occurrences, model, prior, min_prob)
     occ_type = occurrences.schema["occ_id"].dataType.simpleString()
-    slices = slice_occurrences(occurrences).join(checked_side(word_side(model, prior, min_prob), model), "x")
+    slices = meet_side(slice_occurrences(occurrences), word_side(model, prior, min_prob), model)
     return slices.select("vecs", "start_z", "occs").mapInArrow(
         posterior_scorer(decoder, model.senses), f"occ_id {occ_type}, z array<double>"
     )
@@ -312,7 +320,7 @@ def likelihood_by(
         packed = cut.groupBy("x", "slice").agg(F.collect_list(F.struct(*keys, "y", "n")).alias("ps"))
         vecs = model.in_vec.groupBy("word_id").agg(F.collect_list(F.struct("sense", "vec")).alias("vecs"))
         side = vecs.join(sense_priors(model), "word_id").withColumnRenamed("word_id", "x")
-        rows = packed.join(checked_side(side, model), "x").select("vecs", "pi", "ps")
+        rows = meet_side(packed, side, model).select("vecs", "pi", "ps")
         fields = ", ".join(f"`{k}` {counted.schema[k].dataType.simpleString()}" for k in keys)
         partial = rows.mapInArrow(group_averager(decoder, min_prob, list(keys)), f"{fields}, s double, n bigint")
         mean = F.coalesce(F.try_divide(F.sum("s"), F.sum("n")), F.lit(0.0))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.mixer import uniform
 from ..session import at_most, materialize
+from .hitters import frequent
 
-# Above this many rows a vocabulary is joined by a salted shuffle instead of a broadcast.
+# Above this many rows a vocabulary is joined by a shuffle instead of a broadcast.
 BROADCAST_WORDS = 1_000_000
-SALTS = 32
 ROW_BITS = 33
 
 
@@ -87,19 +87,18 @@ def total_frequency(vocab: DataFrame) -> DataFrame:
 def lookup_words(words: DataFrame, vocab: DataFrame, cols: tuple[str, ...] = ("word_id", "freq")) -> DataFrame:
     """Inner join on ``word``: words outside the vocabulary disappear.
 
-    A vocabulary that is known to be small is broadcast, so the words are not moved at all.  A larger one
-    meets them in a shuffle on (word, salt): a word that makes up a third of a corpus is spread
-    over all salts, and it does not matter whether the vocabulary contains it.
+    A vocabulary that is known to be small is broadcast, so the words are not moved at all.  With a larger one the
+    words that make up a thousandth of the corpus or more, fewer than 1,400, are found by a sketch first: these meet a broadcast, whether
+    the vocabulary has them or not, and only the rest is shuffled by word.  The vocabulary is sent once.
     """
     side = vocab.select("word", *cols)
     if at_most(vocab, BROADCAST_WORDS):
         return words.join(F.broadcast(side), "word")
-    # the salt follows the whole row, so a repeated task draws the same one
-    others = [c for c in words.columns if c != "word"]
-    salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)) if others else F.lit(0).cast("bigint")
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    salted = side.withColumn("salt", F.explode(every))
-    return words.withColumn("salt", salt).join(salted, ["word", "salt"]).drop("salt")
+    head = materialize(frequent(words, "word").withColumnRenamed("value", "word"), "head-words")
+    known = side.join(F.broadcast(head), "word", "left_semi")
+    found = words.join(F.broadcast(known), "word")
+    rest = words.join(F.broadcast(head), "word", "left_anti").join(side.hint("merge"), "word")
+    return found.unionByName(rest)
 
 
 def lookup_ids(ids: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import context as C
 from ..operators import train as R
 from ..operators.model import SenseModel
 from ..operators.reading import followers, numbered
-from ..operators.score import broadcast_decoder, checked_side, collect_paths, fits_broadcast, slice_occurrences
+from ..operators.score import broadcast_decoder, collect_paths, fits_broadcast, meet_side, slice_occurrences
 from ..operators.versions import remove
 from ..operators.vocab import lookup_words
 from ..plans.train import STATE_SCHEMA, TrainParams, model_of, next_state, occurrences, round_statistics, state_rows, state_side
@@ -68,15 +68,8 @@ class StreamTrainer:
         if decoder is None:
             sums = R.round_sums_joined(occ, current, lr, params.sense_threshold)
         else:
-            sums = R.round_sums(
-                slice_occurrences(occ),
-                checked_side(state_side(state, self.model), self.model),
-                decoder,
-                self.model.dim,
-                self.model.senses,
-                lr,
-                params.sense_threshold,
-            )
+            rows = meet_side(slice_occurrences(occ), state_side(state, self.model), self.model)
+            sums = R.round_sums(rows, decoder, self.model.dim, self.model.senses, lr, params.sense_threshold)
         self._write(next_state(state, sums, params, lr), batch_id, read + tokens.count())
         for path in {p.rsplit("/", 1)[0] for p in tokens.inputFiles()}:
             drop_path(self.spark, path)

@@ -62,7 +62,7 @@ def test_counts_equal_a_plain_loop(spark, limit):
     path = plan.scratch_path(spark, "slices")
     plan.write_slices(occ, params, path, 1)
     runner = plan.RoundRunner(start, params, limit)
-    runner.run(spark.read.parquet(path).select("x", "occs"), 0.2, 0, 0, 1.0)
+    runner.run(spark.read.parquet(path).select("x", "slice", "occs"), 0.2, 0, 0, 1.0)
     found = {r.word_id: r.counts for r in runner.current().sense_counts.collect()}
     z = {tuple(r.occ_id): r.z for r in R.train_posteriors(occ.select("occ_id", "x", "ctx"), start).collect()}
     wanted = {r.word_id: np.full(3, 2.0) for r in vocab.collect()}
