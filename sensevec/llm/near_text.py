@@ -35,6 +35,7 @@ PAIRS_AT_ONCE = 512
 
 # Odd multipliers of a published 64-bit mixer.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+LAST = np.uint64((1 << 64) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,11 +69,11 @@ def sketches(words: np.ndarray, samples: int = SAMPLES, kmers: int = KMERS, size
     at_once = max(1, HASHES_AT_ONCE // len(grams))
     for first in range(0, samples, at_once):
         part = seeds[first : first + at_once]
-        values = grams[None, :] * part[:, None]
-        values ^= values >> np.uint64(32)
-        values *= MIX_A
-        values ^= values >> np.uint64(29)
-        least = np.argpartition(values, kmers - 1, axis=1)[:, :kmers] if kmers < len(grams) else np.tile(np.arange(kmers), (len(part), 1))
+        values = grams[None, :] * part[:, None]  # k-mer hashes are mixed already: a seed's product orders them anew
+        least = np.empty((len(part), kmers), np.int64)
+        for k in range(kmers):
+            least[:, k] = values.argmin(axis=1)
+            values[np.arange(len(part)), least[:, k]] = LAST
         least.sort(axis=1)
         joined = np.zeros(len(part), np.uint64)
         for k in range(kmers):
@@ -326,15 +327,18 @@ def _unlike(left: DataFrame) -> DataFrame:
 def _classes(buckets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """``(node, root)`` of the texts that are linked, from ``buckets (bucket, text_key)``.
 
-    The members of a bucket are first compared with its smallest one, and the links so far make classes.  Where a bucket
+    A text is first compared with two of the smallest members of its buckets, the one it shares most buckets with and the smallest of them,
+    and the links so far make classes.  Where a bucket
     still holds several classes, all pairs of unlike classes are settled: up to ``PAIRED`` members are compared with each other,
     more in pairs of blocks by different tasks, from which only links that join classes leave.
     """
     kind = _kind(texts)
     marks = materialize(texts.mapInArrow(_marked, f"text_key {kind}, n int, bins binary"), "marks")
     first = buckets.groupBy("bucket").agg(F.min("text_key").alias("pivot"))
-    members = buckets.join(first, "bucket")
-    pairs = members.filter("text_key <> pivot").select(F.col("pivot").alias("a"), F.col("text_key").alias("b")).distinct()
+    members = buckets.join(first, "bucket").filter("text_key <> pivot")
+    met = members.groupBy("text_key", "pivot").agg(F.count("*").alias("n"))
+    best = met.groupBy("text_key").agg(F.array_distinct(F.array(F.min("pivot"), F.max_by("pivot", F.struct("n", "pivot")))).alias("pivots"))
+    pairs = best.select(F.explode("pivots").alias("a"), F.col("text_key").alias("b"))
     checked = materialize(verify(pairs, texts, marks, similarity), "checked")
     roots = materialize(components(checked.filter("linked").select("a", "b")), "roots")
     left = materialize(_unlike(_mixed(buckets, roots)), "left-over")
