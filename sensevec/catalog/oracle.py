@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.mixer import FACTOR_1, FACTOR_2, FACTOR_I, FACTOR_SEED, PRIME, ROUND_CONSTANTS
 from ..operators.context import BATCH
+from ..plans.train import TrainParams
 from .fixture import (
     ALPHA,
     COUNT_SEED,
@@ -17,7 +20,7 @@ from .fixture import (
     SENSES,
     WINDOW,
 )
-from .queries import CAP, KEEP, LR, THRESHOLD, WSI_WINDOW
+from .queries import CAP, KEEP, LR, THRESHOLD, TRAINING, WSI_WINDOW
 
 WHITE = r"[ \t\n\x0B\f\r]+"
 KS = range(1, SENSES + 1)
@@ -90,12 +93,12 @@ _share = [f"freq * {uniform('word_id', str(k), '0', COUNT_SEED)} * {s}" for k, s
 _share[2] = f"CASE WHEN word_id % 3 = 0 THEN 0.0 ELSE {_share[2]} END"
 
 
-def _sticks() -> str:
+def _sticks(alpha: float = ALPHA, d: float = DISCOUNT) -> str:
     """Stick-breaking priors, written out sense by sense."""
     head = f"""
         SELECT word_id, freq, c1, c2, c3,
-            1 + c1 - {DISCOUNT} AS a1, {ALPHA} + {DISCOUNT} + c2 + c3 AS b1,
-            1 + c2 - {DISCOUNT} AS a2, {ALPHA} + 2*{DISCOUNT} + c3 AS b2 FROM sense_counts"""
+            1 + c1 - {d} AS a1, {alpha} + {d} + c2 + c3 AS b1,
+            1 + c2 - {d} AS a2, {alpha} + 2*{d} + c3 AS b2 FROM sense_counts"""
     return f"""
         SELECT word_id, freq, a1/(a1+b1) AS p1, a2/(a2+b2) * (1 - a1/(a1+b1)) AS p2,
             greatest(1 - a1/(a1+b1) - a2/(a2+b2) * (1 - a1/(a1+b1)), 0) AS p3,
@@ -391,6 +394,86 @@ RELATIONS["out_grad"] = (
     """SELECT p.node_id AS id, 0 AS sense, i, sum(g * vec[i + 1]::DOUBLE) AS grad, sum(w) AS weight
     FROM pulls p JOIN in_vec v ON v.word_id = p.x AND v.sense = p.sense, range(0, 8) r(i) GROUP BY p.node_id, i""",
 )
+# What a round of training computes anew from its tokens and the model so far.
+ROUND = ("pair_counts", "node_f", "node_wide", "pair_steps", "pair_ll", "context_ll", "train_z", "weights", "pulls", "in_grad", "out_grad")
+
+
+def training(rounds: int, params: TrainParams) -> None:
+    """Relations of chained rounds: those of a single round under names of their own, and the model that each leaves behind."""
+    draw = f"{mixed('doc_id', 'chunk_id', '0', params.seed)} % {rounds}"
+    scale = 1.0 / params.dim
+    zeros = f"list_transform(range(0, {DIM}), lambda i: 0.0::DOUBLE)"
+    RELATIONS["t_total"] = (("tokens",), "SELECT count(*)::DOUBLE AS total FROM tokens")
+    RELATIONS["t_in0"] = (
+        ("vocab",),
+        f"""SELECT word_id, sense, {random_vec('word_id', 'sense', params.seed, scale)} AS vec, {zeros} AS acc
+        FROM vocab, range(1, {SENSES + 1}) s(sense)""",
+    )
+    RELATIONS["t_out0"] = (
+        ("vocab",),
+        f"""SELECT node_id, {random_vec('node_id', '0', params.seed, scale)} AS vec, {zeros} AS acc
+        FROM (SELECT word_id - 1 AS node_id FROM vocab WHERE word_id > 1)""",
+    )
+    RELATIONS["t_counts0"] = (("vocab",), "SELECT word_id, freq, freq::DOUBLE AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3 FROM vocab")
+    for r in range(rounds):
+        names = {name: f"t_{name}{r}" for name in ROUND}
+        names |= {"tokens": f"t_tokens{r}", "pairs": f"t_pairs{r}", "in_vec": f"t_in{r}", "out_vec": f"t_float{r}"}
+        names |= {"sense_counts": f"t_counts{r}", "prior": f"t_prior{r}"}
+
+        def own(text: str, names: dict[str, str] = names) -> str:
+            return re.sub(rf"\b({'|'.join(names)})\b", lambda m: names[m[0]], text)
+
+        behind = "row_number() OVER (PARTITION BY word_id ORDER BY doc_id DESC, chunk_id DESC, pos DESC) - 1 AS behind"
+        RELATIONS[f"t_tokens{r}"] = (("tokens",), f"SELECT *, {behind} FROM tokens WHERE {draw} = {r}")
+        RELATIONS[f"t_pairs{r}"] = (("pairs",), f"SELECT * FROM pairs WHERE {draw} = {r}")
+        rate = f"greatest({params.start_lr} * (1 - total * {r} / {rounds} / (total + 1)), {params.start_lr * 1e-4})"
+        RELATIONS[f"t_rate{r}"] = (("t_total",), f"SELECT {rate} AS lr FROM t_total")
+        # scores read node vectors in single precision
+        RELATIONS[f"t_float{r}"] = (
+            (f"t_out{r}",),
+            f"SELECT node_id, list_transform(vec, lambda e: e::FLOAT::DOUBLE) AS vec FROM t_out{r}",
+        )
+        RELATIONS[f"t_prior{r}"] = ((f"t_counts{r}",), own(_sticks(params.alpha, params.d)))
+        for name in ROUND:
+            needed, text = RELATIONS[name]
+            RELATIONS[names[name]] = (tuple(names.get(n, n) for n in needed), own(text))
+        for side, key, grad in (("in", "word_id, sense", "in_grad"), ("out", "node_id", "out_grad")):
+            same = " AND ".join(f"g.{'id' if k == key.split(',')[0] else k} = b.{k}" for k in key.split(", "))
+            total = f"(acc + pow(grad / {LR}, 2))"
+            step = f"CASE WHEN {total} > 0 THEN {params.pace} * lr * grad / {LR} / sqrt({total}) ELSE 0 END"
+            RELATIONS[f"t_{side}{r + 1}"] = (
+                (f"t_{side}{r}", names[grad], f"t_rate{r}"),
+                f"""SELECT {key}, list(v ORDER BY i) AS vec, list(acc ORDER BY i) AS acc FROM (
+                    SELECT {', '.join('b.' + k for k in key.split(', '))}, b.i, v + coalesce({step}, 0) AS v, coalesce({total}, acc) AS acc
+                    FROM (SELECT {key}, unnest(vec) AS v, unnest(acc) AS acc, unnest(range(0, {DIM})) AS i FROM t_{side}{r}) b
+                    LEFT JOIN {names[grad]} g ON {same} AND g.i = b.i CROSS JOIN t_rate{r}) GROUP BY {key}""",
+            )
+        late = ", ".join(f"sum(z{k} * pow(1 - lr, behind)) AS t{k}" for k in KS)
+        moved = ", ".join(f"coalesce(c{k} * pow(1 - lr, m) + lr * freq * t{k}, c{k}) AS c{k}" for k in KS)
+        RELATIONS[f"t_counts{r + 1}"] = (
+            (f"t_counts{r}", names["train_z"], f"t_tokens{r}", f"t_rate{r}"),
+            f"""SELECT word_id, freq, {moved} FROM t_counts{r} LEFT JOIN (
+                SELECT x, count(*) AS m, {late} FROM {names['train_z']} JOIN t_tokens{r} USING (doc_id, chunk_id, pos) CROSS JOIN t_rate{r} GROUP BY x
+            ) ON x = word_id CROSS JOIN t_rate{r}""",
+        )
+        value = " + ".join(f"CASE WHEN z{k} >= {THRESHOLD} THEN z{k} * ll{k} ELSE 0 END" for k in KS)
+        senses = " + ".join(f"(p{k} >= 0.001)::INT" for k in KS)
+        RELATIONS[f"t_stats{r}"] = (
+            (f"t_pairs{r}", names["train_z"], names["pair_ll"], f"t_tokens{r}", f"t_prior{r}", f"t_rate{r}"),
+            f"""SELECT 0 AS epoch, {r} AS round, lr, occurrences, pairs, mean_ll, mean_senses, max_senses, {(r + 1) / rounds}::DOUBLE AS share_read
+            FROM (SELECT count(*) AS pairs, sum({value}) / count(*) AS mean_ll FROM t_pairs{r}
+                JOIN {names['train_z']} USING (doc_id, chunk_id, pos, x) JOIN {names['pair_ll']} USING (x, y))
+            CROSS JOIN (SELECT count(*) AS occurrences, avg({senses}) AS mean_senses, max({senses}) AS max_senses
+                FROM t_tokens{r} JOIN t_prior{r} USING (word_id)) CROSS JOIN t_rate{r}""",
+        )
+    RELATIONS["t_stats"] = (
+        tuple(f"t_stats{r}" for r in range(rounds)), " UNION ALL ".join(f"SELECT * FROM t_stats{r}" for r in range(rounds))
+    )
+    RELATIONS["t_prior"] = ((f"t_counts{rounds}",), re.sub(r"\bsense_counts\b", f"t_counts{rounds}", _sticks(params.alpha, params.d)))
+
+
+training(TRAINING.rounds, TRAINING)
+
 _step = f"coalesce(grad * least(1, {CAP} / weight), 0)"
 
 
@@ -399,9 +482,9 @@ def bind(final: str, *needed: str) -> str:
     order: list[str] = []
 
     def visit(name: str) -> None:
-        for other in RELATIONS[name][0]:
-            visit(other)
         if name not in order:
+            for other in RELATIONS[name][0]:
+                visit(other)
             order.append(name)
 
     for name in needed:
@@ -668,6 +751,17 @@ def _oracles() -> dict[str, str]:
         "train_z",
         "ordered_tokens",
     )
+    o["train"] = bind(
+        f"SELECT word, sense, p FROM ({long('p', 'p', 't_prior', 'word_id')}) JOIN vocab USING (word_id) WHERE p >= 0.001",
+        "t_prior",
+        "vocab",
+    )
+    o["train_loglik"] = bind("SELECT epoch, round, pairs, round(mean_ll, 6) AS mean_ll FROM t_stats", "t_stats")
+    o["round_metrics"] = bind(
+        """SELECT epoch, round, round(lr, 9) AS lr, occurrences, pairs, round(mean_ll, 6) AS mean_ll, round(mean_senses, 6) AS mean_senses,
+            max_senses, round(share_read, 9) AS share_read FROM t_stats""",
+        "t_stats",
+    )
     o["lr_schedule"] = bind(
         f"""SELECT epoch, lang, read, round(greatest({LR} * (1 - read / (total + 1.0)), {LR * 1e-4}), 9) AS rate FROM (
             SELECT epoch, lang, coalesce(sum(n) OVER (ORDER BY epoch, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT

@@ -549,12 +549,12 @@ def lr_schedule(f: Fixture) -> DataFrame:
     return rows.select("epoch", "lang", "read", F.round(rate, 9).alias("rate"))
 
 
-_SMALL_TRAINING = TrainParams(window=WINDOW, min_freq=MIN_FREQ, dim=DIM, senses=SENSES, rounds=4)
+TRAINING = TrainParams(window=WINDOW, min_freq=MIN_FREQ, dim=DIM, senses=SENSES, rounds=4)
 
 
 def _trained(f: Fixture):
     docs = f.documents().select("doc_id", T.simple_tokenize(F.col("text")).alias("text"))
-    return train(docs, _SMALL_TRAINING)
+    return train(docs, TRAINING)
 
 
 @query
@@ -573,7 +573,10 @@ def train_loglik(f: Fixture) -> DataFrame:
 
 @query
 def round_metrics(f: Fixture) -> DataFrame:
-    return _trained(f).metrics()
+    exact = ["epoch", "round", "occurrences", "pairs", "max_senses"]
+    return _trained(f).metrics().select(
+        *exact, rounded("lr", 9), rounded("mean_ll"), rounded("mean_senses"), rounded("share_read", 9)
+    )
 
 
 # --- model queries ------------------------------------------------------------------------------------------
