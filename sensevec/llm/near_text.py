@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,8 @@ FINE_BINS = 1024  # where the words are at hand
 MOST_OF_BIN = 255  # counts are cut off there, which can only leave more pairs open
 ROWS_AT_ONCE = 64
 COUNTS_AT_ONCE = 1 << 21
-HASHES_AT_ONCE = 1 << 21
+HASHES_AT_ONCE = 1 << 17
+WORDS_AT_ONCE = 100_000
 PAIRS_AT_ONCE = 512
 
 # Odd multipliers of a published 64-bit mixer.
@@ -46,34 +48,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def labelled_kmers(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """A hash of each k-mer and of how many equal ones stand before it; a shorter text is one k-mer."""
-    size = max(1, min(size, len(words)))
-    n = len(words) - size + 1
+    return _labelled(words, np.array([0, len(words)]), max(1, min(size, len(words))))[0]
+
+
+def _labelled(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled k-mers of texts that lie side by side, and where those of each text begin; texts shorter than a k-mer have none."""
+    n = max(0, len(words) - size + 1)
     grams = np.zeros(n, np.uint64)
     for k in range(size):
         grams = mixed(grams) + words[k : k + n]
-    order = np.argsort(grams, kind="stable")
-    ordered = grams[order]
-    first = np.append(True, ordered[1:] != ordered[:-1])
-    run = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    occurrence = np.empty(n, np.uint64)
+    counts = np.maximum(np.diff(offsets) - size + 1, 0)
+    starts = np.append(0, np.cumsum(counts))
+    text = np.repeat(np.arange(len(counts)), counts)
+    grams = grams[np.arange(starts[-1]) - starts[text] + offsets[text]]
+    # equal k-mers of one text in a row, in the order of the text
+    order = np.argsort(mixed(grams ^ text.astype(np.uint64) * MIX_B), kind="stable")
+    ordered, of = grams[order], text[order]
+    same = (ordered[1:] == ordered[:-1]) & (of[1:] == of[:-1])
+    at = np.arange(len(order))
+    run = at - np.maximum.accumulate(np.where(np.append(False, same)[: len(order)], 0, at))
+    occurrence = np.empty(len(order), np.uint64)
     occurrence[order] = run
-    return mixed(grams + occurrence * MIX_A)
+    return mixed(grams + occurrence * MIX_A), starts
 
 
-def sketches(words: np.ndarray, samples: int = SAMPLES, kmers: int = KMERS, size: int = SHINGLE) -> np.ndarray:
-    """Order MinHash: for each sample the k-mers with the smallest hashes, joined in the order of the text."""
-    grams = labelled_kmers(words, size)
-    kmers = min(kmers, len(grams))
-    seeds = mixed(np.arange(1, samples + 1, dtype=np.uint64) * MIX_B) | np.uint64(1)
+@cache
+def _seeds(samples: int) -> np.ndarray:
+    return mixed(np.arange(1, samples + 1, dtype=np.uint64) * MIX_B) | np.uint64(1)
+
+
+@cache
+def _names(samples: int, kmers: int, size: int) -> np.ndarray:
+    return mixed(np.arange(samples, dtype=np.uint64) + np.uint64(1000 * (10 * kmers + size)))
+
+
+def _minima(grams: np.ndarray, samples: int, kmers: int) -> np.ndarray:
+    """For each sample the k-mers with the smallest hashes, joined in the order of the text."""
+    kmers, seeds = min(kmers, len(grams)), _seeds(samples)
     out = np.empty(samples, np.uint64)
     at_once = max(1, HASHES_AT_ONCE // len(grams))
     for first in range(0, samples, at_once):
         part = seeds[first : first + at_once]
         values = grams[None, :] * part[:, None]  # k-mer hashes are mixed already: a seed's product orders them anew
-        least = np.empty((len(part), kmers), np.int64)
+        least, rows = np.empty((len(part), kmers), np.int64), np.arange(len(part))
         for k in range(kmers):
             least[:, k] = values.argmin(axis=1)
-            values[np.arange(len(part)), least[:, k]] = LAST
+            values[rows, least[:, k]] = LAST
         least.sort(axis=1)
         joined = np.zeros(len(part), np.uint64)
         for k in range(kmers):
@@ -82,24 +102,53 @@ def sketches(words: np.ndarray, samples: int = SAMPLES, kmers: int = KMERS, size
     return out
 
 
+def sketches(words: np.ndarray, samples: int = SAMPLES, kmers: int = KMERS, size: int = SHINGLE) -> np.ndarray:
+    """Order MinHash of one text."""
+    return _minima(labelled_kmers(words, size), samples, kmers)
+
+
+def _kinds(size: int) -> list[tuple[int, int, int]]:
+    """``(samples, minimum k-mers, words of a k-mer)`` of the sketches of a text of so many words."""
+    return [(SAMPLES, KMERS, SHINGLE), *(tuple(kind) for low, high, *kind in FURTHER if low <= size <= high)]
+
+
 def all_sketches(words: np.ndarray) -> np.ndarray:
     """Sketches of long k-mers, and those for scattered edits; each names its kind and sample."""
-    kinds = [(SAMPLES, KMERS, SHINGLE), *(kind for low, high, *kind in FURTHER if low <= len(words) <= high)]
-    out = []
-    for samples, kmers, size in kinds:
-        names = mixed(np.arange(samples, dtype=np.uint64) + np.uint64(1000 * (10 * kmers + size)))
-        out.append(mixed(sketches(words, samples, kmers, size) + names))
-    return np.concatenate(out)
+    return np.concatenate([mixed(sketches(words, *kind) + _names(*kind)) for kind in _kinds(len(words))])
+
+
+def _sketches_of(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """``all_sketches`` of texts side by side; k-mers are hashed for all of them at once."""
+    sizes, made, out = np.diff(offsets), {}, []
+    for k, size in enumerate(sizes.tolist()):
+        if not size:
+            out.append(np.zeros(0, np.int64))
+            continue
+        parts = []
+        for kind in _kinds(size):
+            words = kind[2]
+            if size < words:
+                grams = labelled_kmers(values[offsets[k] : offsets[k + 1]], words)
+            else:
+                if words not in made:
+                    made[words] = _labelled(values, offsets, words)
+                all_, starts = made[words]
+                grams = all_[starts[k] : starts[k + 1]]
+            parts.append(_minima(grams, *kind[:2]) + _names(*kind))
+        out.append(mixed(np.concatenate(parts)).view(np.int64))
+    return out
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = batch.column("words")
         offsets, values = words.offsets.to_numpy(), words.values.to_numpy().view(np.uint64)
-        rows = [
-            all_sketches(values[a:b]).view(np.int64) if b > a else np.zeros(0, np.int64)
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True)
-        ]
+        block = np.cumsum(np.diff(offsets)) // WORDS_AT_ONCE
+        cuts = np.append(np.append(0, np.flatnonzero(np.diff(block)) + 1), batch.num_rows)
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                rows += _sketches_of(values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         ends = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))
         keep = [c for c in batch.schema.names if c != "words"]
