@@ -316,7 +316,7 @@ RELATIONS["nested_numbers"] = (
 )
 RELATIONS["ordered_tokens"] = (
     ("tokens",),
-    """SELECT *, row_number() OVER (ORDER BY doc_id, chunk_id, pos) - 1 AS at,
+    """SELECT *, row_number() OVER (ORDER BY doc_id, chunk_id, pos) - 1 AS place,
         row_number() OVER (PARTITION BY word_id ORDER BY doc_id DESC, chunk_id DESC, pos DESC) - 1 AS behind FROM tokens""",
 )
 
@@ -594,7 +594,7 @@ def _oracles() -> dict[str, str]:
         "prior",
     )
     o["reading_order"] = bind(
-        "SELECT doc_id, min(at) AS first, max(at) AS last, count(*) AS n FROM ordered_tokens GROUP BY doc_id", "ordered_tokens"
+        "SELECT doc_id, min(place) AS first, max(place) AS last, count(*) AS n FROM ordered_tokens GROUP BY doc_id", "ordered_tokens"
     )
     o["later_occurrences"] = bind("SELECT doc_id, chunk_id, pos, behind FROM ordered_tokens", "ordered_tokens")
     o["tokenize_simple"] = f"SELECT page_id, {simple('html')} AS tokens FROM pages"
@@ -744,10 +744,9 @@ def _oracles() -> dict[str, str]:
     late = ", ".join(f"sum(z{k} * pow(1 - {LR}, behind)) AS t{k}" for k in KS)
     in_order = ", ".join(f"round(c{k} * {keep} + {LR} * freq * t{k}, 5) AS c{k}" for k in KS)
     o["ordered_counts"] = bind(
-        f"""SELECT word_id, {in_order} FROM sense_counts JOIN vocab USING (word_id) JOIN (
+        f"""SELECT word_id, {in_order} FROM sense_counts JOIN (
             SELECT x, count(*) AS m, {late} FROM train_z JOIN ordered_tokens USING (doc_id, chunk_id, pos) GROUP BY x) ON x = word_id""",
         "sense_counts",
-        "vocab",
         "train_z",
         "ordered_tokens",
     )
