@@ -52,9 +52,20 @@ def compact(spark: SparkSession, target: str, path: str) -> None:
     counts_at(spark, target).write.parquet(f"{path}/version=-1")
 
 
+def _folders(spark: SparkSession, pattern: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return any(f.isDirectory() for f in found or [])
+
+
 def count_available(spark: SparkSession, folder: str, glob: str, schema: str = DOCUMENT_SCHEMA) -> DataFrame:
-    """Read the files of ``folder`` that match ``glob`` as a stream and return the final counts."""
+    """Read what in ``folder`` matches ``glob``, files or folders of files, as a stream and return the final counts."""
     target = scratch_path(spark, "stream-counts")
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    # a stream without rows has no batch to write the table
+    spark.createDataFrame([], "word string, freq bigint").write.parquet(f"{target}/version=-1")
+    source = spark.readStream.schema(schema)
+    named = f"{folder.rstrip('/')}/{glob}"
+    # a table may be one file or a folder of files; the filter holds for names of files only
+    docs = source.parquet(named) if _folders(spark, named) else source.option("pathGlobFilter", glob).parquet(folder)
     write_changes(docs, target, f"{target}-progress").awaitTermination()
     return counts_at(spark, target)

@@ -2,7 +2,10 @@
 
 from collections import Counter
 
+import pytest
+
 from sensevec.streaming import counts as SC
+from sensevec.streaming.counts import count_available
 
 
 def test_batches_write_their_own_words(spark, tmp_path):
@@ -28,3 +31,21 @@ def test_batches_write_their_own_words(spark, tmp_path):
     assert {r.word: r.freq for r in SC.counts_at(spark, target, first).collect()} == by_batch[first]
     SC.compact(spark, target, str(tmp_path / "compact"))
     assert {r.word: r.freq for r in SC.counts_at(spark, str(tmp_path / "compact")).collect()} == wanted
+
+
+@pytest.mark.parametrize("parts", [0, 1, 3])
+def test_a_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path, parts):
+    docs = spark.createDataFrame([(i, f"a b{i}") for i in range(6)], "doc_id bigint, text string")
+    if parts:
+        docs.repartition(parts).write.parquet(f"{tmp_path}/docs.parquet")
+    else:
+        docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+        next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "docs.parquet")
+    docs.write.parquet(f"{tmp_path}/other.parquet")  # not named
+    found = {r["word"]: r["freq"] for r in count_available(spark, str(tmp_path), "docs.parquet").collect()}
+    assert found == {"a": 6} | {f"b{i}": 1 for i in range(6)}
+
+
+def test_a_stream_without_rows_has_no_counts(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/docs.parquet")
+    assert count_available(spark, str(tmp_path), "docs.parquet").collect() == []
