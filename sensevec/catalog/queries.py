@@ -644,8 +644,7 @@ def likelihood(f: Fixture) -> DataFrame:
 @query
 def parallel_likelihood(f: Fixture) -> DataFrame:
     tokens = C.chunked(f.kept().drop("chunk_id"), LIKELIHOOD_BATCH)
-    pairs = C.pair_counts(C.context_pairs(tokens, WSI_WINDOW), "doc_id", "chunk_id")
-    counted = materialize(pairs, "batch-pairs")
+    counted = C.pair_counts(C.context_pairs(tokens, WSI_WINDOW), "doc_id", "chunk_id")
     stats = S.likelihood_by(counted, f.model, "doc_id", "chunk_id", min_prob=0.005, decoder=f.decoder)
     return S.merge_means(stats).select(rounded("mean"), "n")
 

@@ -9,7 +9,6 @@ from ..operators import context as C
 from ..operators.model import SenseModel
 from ..operators.score import likelihood, likelihood_by, merge_means
 from ..operators.vocab import lookup_words
-from ..session import materialize
 from ..sources.corpus import scan_words
 
 LIKELIHOOD_BATCH = 16_777_216
@@ -27,9 +26,7 @@ def text_likelihood(docs: DataFrame, model: SenseModel, window: int = 5, min_pro
 
 def batch_likelihood(docs: DataFrame, model: SenseModel, window: int = 5, min_prob: float = 0.005) -> DataFrame:
     """``(doc_id, chunk_id, mean, n)``: the log of batch means."""
-    pairs = materialize(
-        C.pair_counts(text_pairs(docs, model, window), "doc_id", "chunk_id"), "batch-pairs"
-    )
+    pairs = C.pair_counts(text_pairs(docs, model, window), "doc_id", "chunk_id")
     return likelihood_by(pairs, model, "doc_id", "chunk_id", min_prob=min_prob)
 
 
