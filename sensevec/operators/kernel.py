@@ -761,6 +761,22 @@ def _round_rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
 
 
+def run_heads(limit: int):
+    """Kernel that keeps the first ``limit`` rows of each run of rows with one ``run`` and growing ``i``, without ``run``."""
+
+    def run(batches):
+        for batch in batches:
+            of, i = batch.column("run").to_numpy(), batch.column("i").to_numpy()
+            number = np.arange(len(of))
+            fresh = np.ones(len(of), dtype=bool)
+            fresh[1:] = (of[1:] != of[:-1]) | (i[1:] <= i[:-1])
+            begin = np.maximum.accumulate(np.where(fresh, number, 0)) if len(of) else number
+            head = batch.filter(pa.array(number - begin < limit))
+            yield head.select([name for name in head.schema.names if name != "run"])
+
+    return run
+
+
 def top_k_scorer(k: int):
     """Kernel over pairs of blocks: candidate matrix against query matrix, the best ``k`` per query and block."""
 

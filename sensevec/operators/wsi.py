@@ -9,20 +9,32 @@ from pyspark.sql import functions as F
 
 from ..functions.priors import expected_pi
 from ..functions.text import split_words
-from ..session import materialize
+from ..session import at_most, materialize
+from .kernel import run_heads
 from .metrics import ari_column, totals
 from .model import SenseModel
 from .score import argmax_sense, disambiguate
-from .vocab import lookup_words
+from .vocab import BROADCAST_WORDS, lookup_words
 
 MIN_WORD_WEIGHT = 500
 RECORD_KEYS = ["record", "sense_no"]
 
 
-def _nearest(words: DataFrame, window: int, keys: list[str], near: Column) -> DataFrame:
-    """The ``window`` known words of each side that are closest to the target."""
-    order = W.partitionBy(*keys, "side").orderBy(near)
-    return words.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= window)
+def _nearest(words: DataFrame, window: int, keys: list[str]) -> DataFrame:
+    """The ``window`` known words of each side that are closest to the target, by their place ``i``.
+
+    ``run`` numbers the side of a row that words come from.  Words that follow ``window`` others of their run cannot be among the closest:
+    they go where they are, before anything is sorted or shuffled.
+    """
+    kept = words.drop("run").schema
+    first = words.mapInArrow(run_heads(window), kept)
+    order = W.partitionBy(*keys, "side").orderBy("i")
+    return first.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= window)
+
+
+def _run() -> Column:
+    """Number of the row and side that words come from, next to ``row_no`` and ``side``."""
+    return (F.col("row_no") * 2 + (F.col("side") == "left").cast("int")).alias("run")
 
 
 def _collect(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,10 +53,10 @@ def context_words(instances: DataFrame, vocab: DataFrame, window: int, keys: lis
         F.struct(F.lit("left").alias("side"), F.reverse(split_words(F.lower("left"))).alias("words")),
         F.struct(F.lit("right").alias("side"), split_words(F.lower("right")).alias("words")),
     )
-    words = instances.select(*keys, F.inline(sides)).select(*keys, "side", F.posexplode("words").alias("i", "word"))
-    return _nearest(lookup_words(words, vocab, ("word_id",)), window, keys, F.col("i")).select(
-        *keys, "side", "r", "word_id"
-    )
+    rows = instances.select(F.monotonically_increasing_id().alias("row_no"), *keys, F.inline(sides))
+    words = rows.select(_run(), *keys, "side", F.posexplode("words").alias("i", "word"))
+    known = lookup_words(words, vocab, ("word_id",)).drop("word")
+    return _nearest(known, window, keys).select(*keys, "side", "r", "word_id")
 
 
 def contexts(instances: DataFrame, vocab: DataFrame, window: int = 5) -> DataFrame:
@@ -82,11 +94,14 @@ def weighted_context_words(
         F.struct(F.lit("left").alias("side"), left.alias("ws")), F.struct(F.lit("right").alias("side"), right.alias("ws"))
     )
     ref = F.struct(*keys).alias("ref")
-    words = rows.select(ref, F.inline(sides)).select("ref", "side", F.posexplode("ws").alias("i", "word"))
+    parted = rows.select(F.monotonically_increasing_id().alias("row_no"), ref, F.inline(sides))
+    words = parted.select(_run(), "ref", "side", F.posexplode("ws").alias("i", "word"))
     words = words.withColumn("word", F.lower("word")).filter("word <> ''")
     if stop_words is not None:
-        words = words.join(stop_words.select("word"), "word", "left_anti")
-    near = _nearest(lookup_words(words, vocab, ("word_id",)), window, ["ref"], F.col("i"))
+        stop = stop_words.select("word")
+        stop = F.broadcast(stop) if at_most(stop, BROADCAST_WORDS) else stop
+        words = words.join(stop, "word", "left_anti")
+    near = _nearest(lookup_words(words, vocab, ("word_id",)).drop("word"), window, ["ref"])
     return near.select("ref.*", "side", "r", "word_id")
 
 
@@ -128,11 +143,9 @@ def weighted_contingency(
     rows = capped_contexts(rows.withColumn("word", F.lower("word")), max_contexts).join(wanted, "word")
     # senses of equal labels and records of one word repeat (word, sense, context_id), so every row gets a written number
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "weighted-rows")
-    keys = ["row", "word", "sense"]
-    ctx = _collect(weighted_context_words(rows, model.vocab, window, keys, stop_words), keys)
-    ctx = ctx.select("row", "ctx")
+    ctx = _collect(weighted_context_words(rows, model.vocab, window, ["row"], stop_words), ["row"])
     empty = F.array().cast("array<int>")
-    named = keys + (RECORD_KEYS if by_record else [])
+    named = ["row", "word", "sense"] + (RECORD_KEYS if by_record else [])
     occurrences = rows.select(*named, F.col("word_id").alias("x")).join(ctx, "row", "left").select(
         F.struct(*named).alias("occ_id"), "x", F.coalesce("ctx", empty).alias("ctx")
     )
