@@ -539,7 +539,9 @@ def ordered_counts(f: Fixture) -> DataFrame:
 def lr_schedule(f: Fixture) -> DataFrame:
     """Rate at the start of each round when the languages are read one after the other, twice."""
     docs = f.table("documents").select("doc_id", "lang")
-    sizes = f.tokens().join(docs, "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+    # tokens of a document are counted where they are; one row per document meets its language
+    of_docs = f.tokens().groupBy("doc_id").agg(F.count("*").alias("n"))
+    sizes = of_docs.join(docs, "doc_id").groupBy("lang").agg(F.sum("n").alias("n"))
     rounds = V.repeat_epochs(sizes, 2)
     # one row per language and epoch
     before = W.orderBy("epoch", "lang").rowsBetween(W.unboundedPreceding, -1)

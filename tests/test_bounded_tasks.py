@@ -1,10 +1,12 @@
 """What a task sorts does not grow with the corpus: few words per context, counts per document, chunks dealt by their number."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 
+from sensevec.catalog.queries import all_queries
 from sensevec.operators import kernel as K
 from sensevec.operators import wsi
 
@@ -34,3 +36,13 @@ def test_only_the_nearest_words_are_sorted(spark):
     for r in near.collect():
         found.setdefault((r.key, r.instance, r.side), []).append(r.r)
     assert {k: sorted(v) for k, v in found.items()} == {k: list(range(1, min(3, len(v)) + 1)) for k, v in wanted.items() if v}
+
+
+def test_languages_meet_documents_not_tokens(spark, folder):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = all_queries()["lr_schedule"](spark, folder)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"HashAggregate\(keys=\[doc_id", plan)
