@@ -76,7 +76,7 @@ class Fixture:
     def kept(self) -> DataFrame:
         """``(doc_id, chunk_id, pos, word_id)`` with original positions."""
         words = V.lookup_words(self.words(), self.vocab).select("doc_id", "pos", "word_id", "freq")
-        return C.chunked(words)
+        return C.dealt(C.chunked(words), self.vocab)
 
     def tokens(self) -> DataFrame:
         return C.encode(self.words(), self.vocab)

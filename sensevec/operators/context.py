@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from ..functions.mixer import mix
 from .vocab import lookup_words
 
 BATCH = 64_000
+TASK_TOKENS = 2_000_000  # tokens that a task ranks at most, about, unless one chunk after the other falls to it
 
 
 def chunked(kept: DataFrame, batch: int = BATCH) -> DataFrame:
@@ -20,16 +23,29 @@ def chunked(kept: DataFrame, batch: int = BATCH) -> DataFrame:
     return kept.withColumn("chunk_id", F.floor((F.col("pos") - 1) / batch).cast("int"))
 
 
+def dealt(kept: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Chunks dealt to as many tasks as the words of the vocabulary need, where shuffles would have fewer.
+
+    What a task sorts is then bounded however large the corpus is; ``vocab`` has the frequencies in it.
+    """
+    tokens = vocab.agg(F.sum("freq")).first()[0] or 0
+    tasks = math.ceil(tokens / TASK_TOKENS)
+    if tasks <= int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return kept
+    return kept.repartition(tasks, "doc_id", "chunk_id")
+
+
 def renumber(kept: DataFrame, batch: int = BATCH) -> DataFrame:
     """Positions counted over the kept tokens of each chunk, so a window skips what was dropped."""
     rank = F.row_number().over(W.partitionBy("doc_id", "chunk_id").orderBy("pos"))
-    return chunked(kept, batch).withColumn("pos", rank)
+    rows = kept if "chunk_id" in kept.columns else chunked(kept, batch)
+    return rows.withColumn("pos", rank)
 
 
 def encode(words: DataFrame, vocab: DataFrame, batch: int = BATCH) -> DataFrame:
     """``(doc_id, chunk_id, pos, word_id, freq)`` of the words inside the vocabulary."""
     kept = lookup_words(words, vocab).select("doc_id", "pos", "word_id", "freq")
-    return renumber(kept, batch).select("doc_id", "chunk_id", "pos", "word_id", "freq")
+    return renumber(dealt(chunked(kept, batch), vocab), batch).select("doc_id", "chunk_id", "pos", "word_id", "freq")
 
 
 def cut_width(window: int, seed: int, epoch: int = 0) -> Column:

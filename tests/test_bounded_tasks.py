@@ -5,10 +5,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sensevec.catalog.queries import all_queries
+from sensevec.operators import context as C
 from sensevec.operators import kernel as K
 from sensevec.operators import wsi
+from test_reading import words_of
 
 
 def test_heads_of_runs():
@@ -46,3 +49,15 @@ def test_languages_meet_documents_not_tokens(spark, folder):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert re.search(r"HashAggregate\(keys=\[doc_id", plan)
+
+
+def test_chunks_are_dealt_to_more_tasks(spark, monkeypatch):
+    tokens, vocab = words_of(spark, ["a b c d " * 5] * 40)
+    words = tokens.join(vocab.select("word_id", "word"), "word_id").select("doc_id", "pos", "word")
+    plain = {tuple(r) for r in C.encode(words, vocab).collect()}
+    total = vocab.agg(F.sum("freq")).first()[0]
+    monkeypatch.setattr(C, "TASK_TOKENS", total // 12)
+    encoded = C.encode(words, vocab)
+    assert {tuple(r) for r in encoded.collect()} == plain
+    sizes = encoded.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 8 == int(spark.conf.get("spark.sql.shuffle.partitions"))
