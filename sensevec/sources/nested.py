@@ -13,10 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import has_non_ascii, strip_non_ascii
-from ..session import materialize
+from ..session import at_most, materialize
 from .wsi import numbered_file_lines
 
 LINE_BLOCK = 65_536
+BROADCAST_HEADS = 1_000_000
 NOWHERE = -1
 MOST_JUMPS = 62  # each doubles the way that is followed
 
@@ -132,6 +133,8 @@ def parse_nested_lines(lines: DataFrame, starts: DataFrame) -> DataFrame:
     senses = materialize(senses.filter(F.col("sense_no") <= F.col("word_fields")[3].cast("int")), "senses")
     end = F.least("last", F.col("line_no") + 2 * F.col("fields")[2].cast("bigint"))
     head = senses.select("line_no", F.col("line_no").alias("sense_line"), end.alias("end"))
+    # the lines hold the text; heads that are few are sent to them
+    head = F.broadcast(head) if at_most(head, BROADCAST_HEADS) else head
     rows = lines.select("line_no", "value").join(head, "line_no", "left")
     rows = _last_before(rows, F.when(F.col("sense_line").isNotNull(), F.struct("sense_line", "end")), "of")
     offset = F.col("line_no") - F.col("of.sense_line") - 1
@@ -195,7 +198,10 @@ def write_nested(nested: DataFrame, path: str) -> None:
 
 def read_nested(spark: SparkSession, path: str) -> DataFrame:
     """Rows of :func:`parse_nested_lines` from all files under ``path``, however they are split."""
-    lines = materialize(numbered_file_lines(spark, path, keep_file=True), "numbered-lines")
+    # written once below; numbers are added where lines are read
+    lines = numbered_file_lines(spark, path, keep_file=True)
     files = materialize(lines.groupBy("file").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last")), "files")
+    # one row per file
+    files = F.broadcast(files) if at_most(files, BROADCAST_HEADS) else files
     placed = lines.join(files, "file").select("line_no", "value", "last")
     return parse_nested_lines(placed, files.select(F.col("first").alias("line_no")))

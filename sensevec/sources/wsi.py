@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import has_non_ascii, strip_non_ascii
-from ..session import materialize
+from ..session import at_most, materialize
 
 ROW_BITS = 33
 LINE_BLOCK = 65_536
+BROADCAST_SPLITS = 1_000_000
 
 
 def numbered_lines(lines: DataFrame) -> DataFrame:
@@ -37,6 +38,9 @@ def numbered_file_lines(spark: SparkSession, path: str, keep_file: bool = False)
     sizes = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     before = sizes.select("file", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     line = F.col("before") + F.col("id") - F.col("first")
+    # few beside the lines: one row per split
+    before = materialize(before, "splits")
+    before = F.broadcast(before) if at_most(before, BROADCAST_SPLITS) else before
     return rows.join(before, ["file", "start"]).select(line.alias("line_no"), "value", *(["file"] if keep_file else []))
 
 

@@ -61,3 +61,23 @@ def test_chunks_are_dealt_to_more_tasks(spark, monkeypatch):
     assert {tuple(r) for r in encoded.collect()} == plain
     sizes = encoded.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 8 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_lines_with_text_are_not_shuffled_to_their_heads(spark, tmp_path):
+    from sensevec.sources import nested as NS
+    from sensevec.sources.wsi import NESTED_SCHEMA
+
+    contexts = [(k, ["a", "b", f"c{k}"]) for k in range(3)]
+    records = [(w, w, 5, [("s", 1, contexts), ("t", 2, contexts[:1])]) for w in ("x", "y", "y")]
+    path = str(tmp_path / "nested")
+    NS.write_nested(spark.createDataFrame(records, NESTED_SCHEMA), path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = NS.read_nested(spark, path)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r.word, r.sense, r.context_id, r.position, tuple(r.words)) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wanted = [(w, s, k + 1, c[0], tuple(c[1])) for w in ("x", "y", "y") for s, n in (("s", 3), ("t", 1)) for k, c in enumerate(contexts[:n])]
+    assert found == sorted(wanted)
+    assert "hashpartitioning(line_no" not in plan
