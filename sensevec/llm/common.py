@@ -10,6 +10,8 @@ from ..session import drop_path, materialize
 
 # Groups are cut into so many slices per shuffle partition that a group of any share of the rows spreads evenly.
 SLICES_PER_PARTITION = 8
+# Bits of a broadcast filter for each of its keys, those of a part of it, and those it has at most (16 MB).
+KEY_BITS, PART_BITS, MOST_BITS = 16, 1 << 15, 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,22 @@ def uniform(*parts: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def possible_keys(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: false only where the hash ``key`` (bigint, not null) is not among ``keys``, true for all that are and a few others.
+
+    A bit stands for the keys that agree in their last digits; only the bits are sent to the rows.  A join with ``keys`` then has to move
+    only rows whose bit is set.  ``keys`` is read twice and should be a written table.
+    """
+    bits = min(MOST_BITS, 1 << max(PART_BITS.bit_length() - 1, (KEY_BITS * keys.count()).bit_length()))
+    place = F.pmod(F.col(key), F.lit(bits))
+    part, at = F.floor(place / PART_BITS).alias("__part"), F.pmod(place, F.lit(PART_BITS))
+    marks = keys.groupBy(part).agg(F.bitmap_construct_agg(at).alias("__bits"))
+    met = rows.join(F.broadcast(marks.withColumnRenamed("__part", "__of")), part == F.col("__of"), "left")
+    byte = F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")
+    found = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.expr("cast(__at % 8 as int)")) == 1
+    return met.withColumn("__at", at).select(*rows.columns, F.coalesce(found, F.lit(False)).alias(name))
+
+
 def running_total(
     df: DataFrame, group: str, spread: Column, order: list[Column], value: Column, name: str, rows: DataFrame
 ) -> DataFrame:
@@ -102,6 +120,7 @@ __all__ = [
     "components",
     "discard",
     "materialize",
+    "possible_keys",
     "running_total",
     "shuffle_partitions",
     "table",

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .alignment import similar
-from .common import components, discard, materialize, whole_text
+from .common import components, discard, materialize, possible_keys, whole_text
 
 WORD = r"[\p{L}\p{N}]+"
 SHINGLE = 5  # words of a k-mer
@@ -428,17 +428,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     schema = f"doc_id {id_type}, row_key bigint, text_hash binary, sketches array<bigint>"
     rows = materialize(hashed.mapInArrow(_sketched, schema), "sketches")
     # equal texts have equal sketches, so any row stands for its text; texts are numbered as they are written
-    texts = rows.groupBy("text_hash").agg(F.min("row_key").alias("row_key"))
-    unique = rows.join(texts, ["text_hash", "row_key"], "left_semi").dropDuplicates(["text_hash"])
-    unique = unique.select(F.monotonically_increasing_id().alias("text_key"), "text_hash", "row_key", "sketches")
+    unique = rows.groupBy("text_hash").agg(F.min(F.struct("row_key", "sketches")).alias("one"))
+    unique = unique.select(F.monotonically_increasing_id().alias("text_key"), "text_hash", "one.row_key", "one.sketches")
     unique = materialize(unique, "unique-texts")
     keyed = unique.select("text_key", F.explode("sketches").alias("bucket"))  # the sketches of a text differ by kind and sample
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     buckets = materialize(keyed.join(shared, "bucket"), "buckets")
-    asked = unique.select("text_key", "row_key").join(buckets.select("text_key").distinct(), "text_key")
-    held = docs.select(row_key().alias("row_key"), whole_text().alias("text")).join(asked, "row_key")
-    held = held.dropDuplicates(["text_key"]).select("text_key", _hashes(_words()).alias("words"))
+    asked = materialize(unique.select("text_key", "row_key").join(buckets.select("text_key").distinct(), "text_key"), "asked")
+    held = possible_keys(docs.select(row_key().alias("row_key"), whole_text().alias("text")), "row_key", asked, "asked").filter("asked")
+    # a text has one row key, so rows that repeat it are together after the join
+    held = held.join(asked, "row_key").dropDuplicates(["row_key", "text_key"]).select("text_key", _hashes(_words()).alias("words"))
     held = materialize(held, "words")
+    discard(asked)
     roots = _classes(buckets, held, similarity)
     discard(buckets)
     discard(held)
@@ -459,17 +460,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns kept, that stand for their class of near-duplicates: one row per class."""
+    """The rows of ``docs``, all columns kept, that stand for their class of near-duplicates: one row per class.
+
+    Most rows are kept and are told from the others where they are; only those that go, that repeat, or that a filter of their keys
+    takes for such move to be joined.
+    """
     found = near_duplicates(docs, similarity)
-    keys = materialize(
-        found.filter("kept").groupBy("row_key").agg(F.count("*").alias("times")).withColumnRenamed("row_key", "__kept"), "kept"
-    )
-    keyed = docs.withColumn("__row_key", row_key())
+    keys = found.groupBy(F.col("row_key").alias("__kept")).agg(F.count_if("kept").alias("times"))
+    keys = materialize(keys, "kept")
+    others = keys.filter("times <> 1").select(F.col("__kept").alias("__row_key"))
+    marked = possible_keys(docs.withColumn("__row_key", row_key()), "__row_key", others, "__open")
+    sure = marked.filter("not __open").drop("__row_key", "__open")
+    left = marked.filter("__open").drop("__open")
 
     def rows(names: DataFrame) -> DataFrame:
-        return keyed.join(names, F.col("__row_key") == F.col("__kept"), "left_semi")
+        return left.join(names, F.col("__row_key") == F.col("__kept"), "left_semi")
 
-    single = rows(keys.filter("times = 1")).drop("__row_key")
+    single = sure.unionByName(rows(keys.filter("times = 1")).drop("__row_key"))
     repeated = keys.filter("times > 1")
     if repeated.isEmpty():
         return single
