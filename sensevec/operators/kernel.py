@@ -19,6 +19,7 @@ CHUNK = 4096
 
 ROWS = 1 << 17  # occurrences or pairs that are scored together, and so share the pairs among them
 HOT = 2048  # most frequent words, whose pairs a worker may keep scored
+QUERIES_AT_ONCE = 1024  # whose products with a block of candidates are held together
 KEPT_BYTES = 64 << 20  # scores of other pairs that a worker keeps, the first it meets
 
 
@@ -777,39 +778,70 @@ def run_heads(limit: int):
     return run
 
 
+def _best_of(rows: np.ndarray, value: np.ndarray, order: tuple[np.ndarray, ...], k: int) -> np.ndarray:
+    """Positions of the ``k`` largest values of each row, ties by ``order`` (the last key counts most), best first."""
+    at = np.lexsort((*order, -value, rows))
+    rows = rows[at]
+    return at[np.arange(len(at)) - np.searchsorted(rows, rows) < k]
+
+
 def top_k_scorer(k: int):
-    """Kernel over pairs of blocks: candidate matrix against query matrix, the best ``k`` per query and block."""
+    """Kernel over pairs of blocks: candidate matrix against query matrix, the best ``k`` per query.
+
+    As long as the ``query_block`` stays the same, the best so far are kept, and later candidates only count if they reach a query's last one.
+    """
 
     def matrix(cell):
         values = cell.values
         offsets, flat = lists_of(values.field("vec"))
         vecs = flat.to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(np.float64)
-        return values.field("word_id").to_numpy(), values.field("sense").to_numpy(), vecs, values
+        return values.field("word_id").to_numpy(), values.field("sense").to_numpy(), vecs
+
+    def candidates(cell):
+        ids, senses, vecs = matrix(cell)
+        return ids, senses, vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+
+    def out(queries, best):
+        row, value, ids, senses = best
+        columns = [queries[0][row], queries[1][row], ids, senses, value]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "query_sense", "word_id", "sense", "sim"])
+
+    def merged(queries, floor, best, ids, senses, cand):
+        parts = [best]
+        for first in range(0, len(floor), QUERIES_AT_ONCE):
+            part = slice(first, first + QUERIES_AT_ONCE)
+            sim = queries[2][part] @ cand.T
+            least = floor[part]
+            if np.isneginf(least).any() and len(ids) > k:
+                own = (queries[0][part, None] == ids[None, :]) & (queries[1][part, None] == senses[None, :])
+                ranked = np.partition(np.where(own | ~np.isfinite(sim), -np.inf, sim), len(ids) - k, axis=1)
+                least = np.maximum(least, ranked[:, len(ids) - k])
+            row, at = np.nonzero(sim >= least[:, None])
+            value = sim[row, at]
+            row += first
+            ok = np.isfinite(value) & ((queries[0][row] != ids[at]) | (queries[1][row] != senses[at]))
+            row, at, value = row[ok], at[ok], value[ok]
+            parts.append((row, value, ids[at], senses[at]))
+        row, value, ids, senses = (np.concatenate(x) for x in zip(*parts, strict=True))
+        now = _best_of(row, value, (senses, ids), k)
+        row, value = row[now], value[now]
+        full = np.bincount(row, minlength=len(floor)) == k
+        last = np.append(row[1:] != row[:-1], True)[: len(row)]
+        floor[full] = value[last & full[row]]
+        return row, value, ids[now], senses[now]
 
     def run(batches):
+        block = queries = floor = best = None
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, senses, cand, _ = matrix(batch.column("candidates")[r])
-                q_ids, q_senses, query, _ = matrix(batch.column("queries")[r])
-                cand = cand / np.linalg.norm(cand, axis=1, keepdims=True)
-                sim = query @ cand.T
-                sim[(q_ids[:, None] == ids[None, :]) & (q_senses[:, None] == senses[None, :])] = -np.inf
-                rank = np.lexsort((senses, ids))
-                ordered = sim[:, rank]
-                best = np.argsort(-ordered, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(ordered, best, axis=1)
-                at = rank[best]
-                ok = np.isfinite(value).ravel()
-                width = best.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(q_ids, width)[ok]),
-                        pa.array(np.repeat(q_senses, width)[ok]),
-                        pa.array(ids[at].ravel()[ok]),
-                        pa.array(senses[at].ravel()[ok]),
-                        pa.array(value.ravel()[ok]),
-                    ],
-                    names=["query_id", "query_sense", "word_id", "sense", "sim"],
-                )
+                if queries is None or batch.column("query_block")[r].as_py() != block:
+                    if queries is not None:
+                        yield out(queries, best)
+                    block, queries = batch.column("query_block")[r].as_py(), matrix(batch.column("queries")[r])
+                    floor = np.full(len(queries[0]), -np.inf)
+                    best = (np.zeros(0, np.int64), np.zeros(0), queries[0][:0], queries[1][:0])
+                best = merged(queries, floor, best, *candidates(batch.column("candidates")[r]))
+        if queries is not None:
+            yield out(queries, best)
 
     return run

@@ -15,6 +15,7 @@ from .kernel import top_k_scorer
 from .model import SenseModel
 
 BLOCK_ROWS = 2048
+QUERY_ROWS = 4096  # candidates are sent once for each block of queries
 SALTS = 16
 BROADCAST_ROWS = 1_000_000
 
@@ -63,9 +64,9 @@ def nearest_words(model: SenseModel, word: str, sense: int, k: int = 10, min_cou
     return found.join(model.vocab.select("word_id", "word"), "word_id").select("word", "sense", "sim")
 
 
-def _blocks(rows: DataFrame, name: str, vec) -> tuple[DataFrame, int]:
-    """Rows packed into blocks of about ``BLOCK_ROWS`` vectors each."""
-    count = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+def _blocks(rows: DataFrame, name: str, vec, size: int) -> tuple[DataFrame, int]:
+    """Rows packed into blocks of about ``size`` vectors each."""
+    count = max(1, math.ceil(rows.count() / size))
     block = F.pmod(F.xxhash64("word_id", "sense"), F.lit(count)).cast("int")
     entry = F.struct(F.col("word_id").cast("bigint").alias("word_id"), F.col("sense").cast("int").alias("sense"), vec.alias("vec"))
     packed = rows.select(block.alias("block"), entry.alias("e"))
@@ -76,11 +77,11 @@ def nearest_neighbors_batch(rows: DataFrame, queries: DataFrame, k: int = 10) ->
     """``(query_id, query_sense, rank, word_id, sense, sim)`` for a table of query senses.
 
     Candidates and queries are packed into blocks; every pair of blocks is one matrix product in a task and only the
-    best ``k`` per query leave it.  The pairs of blocks are met by a join on (query block, salt), so
+    best ``k`` per query leave it, one list for the candidate blocks of a salt.  The pairs of blocks are met by a join on (query block, salt), so
     neither side is broadcast and no key owns all candidates.
     """
-    left, _ = _blocks(rows, "candidates", F.col("vec"))
-    right, n_queries = _blocks(queries.filter(norm(F.col("vec")) > 0), "queries", unit(F.col("vec")))
+    left, _ = _blocks(rows, "candidates", F.col("vec"), BLOCK_ROWS)
+    right, n_queries = _blocks(queries.filter(norm(F.col("vec")) > 0), "queries", unit(F.col("vec")), QUERY_ROWS)
     left = left.select(
         F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("query_block"),
         F.pmod(F.col("block"), F.lit(SALTS)).alias("salt"),
@@ -91,7 +92,7 @@ def nearest_neighbors_batch(rows: DataFrame, queries: DataFrame, k: int = 10) ->
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
         "queries",
     )
-    met = left.join(right, ["query_block", "salt"]).select("candidates", "queries")
+    met = left.join(right, ["query_block", "salt"]).select("query_block", "candidates", "queries")
     best = met.mapInArrow(
         top_k_scorer(k), "query_id bigint, query_sense int, word_id bigint, sense int, sim double"
     )
