@@ -389,7 +389,7 @@ def _ordered(f: Fixture) -> DataFrame:
     around = C.contexts(RO.numbered(f.ordered_tokens(), in_order=True), WINDOW)
     place = ["doc_id", "chunk_id", "pos"]
     rows = around.select(*place, F.col("word_id").alias("x"), "ctx", "at")
-    ranked = RO.followers(rows, ["x"], tasks=C.tasks_of(f.vocab), order=place)
+    ranked = RO.followers(rows, ["x"], tasks=C.stretches_of(f.vocab), order=place)
     return ranked.select(F.struct(*place).alias("occ_id"), "x", "ctx", "behind")
 
 

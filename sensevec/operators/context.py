@@ -23,11 +23,14 @@ def chunked(kept: DataFrame, batch: int = BATCH) -> DataFrame:
     return kept.withColumn("chunk_id", F.floor((F.col("pos") - 1) / batch).cast("int"))
 
 
-def tasks_of(vocab: DataFrame) -> int | None:
-    """Tasks that the words of the vocabulary need, None where shuffles have as many; ``vocab`` has the frequencies in it."""
-    tokens = vocab.agg(F.sum("freq")).first()[0] or 0
-    tasks = math.ceil(tokens / TASK_TOKENS)
-    return tasks if tasks > int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+def tasks_of(vocab: DataFrame) -> int:
+    """Tasks that the words of the vocabulary need; ``vocab`` has the frequencies in it."""
+    return math.ceil((vocab.agg(F.sum("freq")).first()[0] or 0) / TASK_TOKENS)
+
+
+def stretches_of(vocab: DataFrame) -> int:
+    """Stretches that the corpus is cut into: as many as its words need, and no fewer than keep all cores busy."""
+    return max(tasks_of(vocab), 2 * vocab.sparkSession.sparkContext.defaultParallelism)
 
 
 def dealt(kept: DataFrame, vocab: DataFrame, in_order: bool = False) -> DataFrame:
@@ -36,10 +39,13 @@ def dealt(kept: DataFrame, vocab: DataFrame, in_order: bool = False) -> DataFram
     What a task sorts is then bounded however large the corpus is.  With ``in_order`` each task gets the chunks of a stretch of
     the corpus, later tasks those of later stretches.
     """
-    tasks = tasks_of(vocab)
     if in_order:
-        return kept.repartitionByRange(*([tasks] if tasks else []), "doc_id", "chunk_id")
-    return kept.repartition(tasks, "doc_id", "chunk_id") if tasks else kept
+        # a number that is named keeps small tasks from being merged at run time
+        return kept.repartitionByRange(stretches_of(vocab), "doc_id", "chunk_id")
+    tasks = tasks_of(vocab)
+    if tasks <= int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return kept
+    return kept.repartition(tasks, "doc_id", "chunk_id")
 
 
 def renumber(kept: DataFrame, batch: int = BATCH) -> DataFrame:

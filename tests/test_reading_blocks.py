@@ -26,7 +26,7 @@ def ordered(words, vocab):
     return C.encode(words, vocab, 16, in_order=True, freq=False)
 
 
-@pytest.mark.parametrize("tasks", [4, 12])
+@pytest.mark.parametrize("tasks", [4, 24])
 def test_stretches_are_numbered_where_they_are(spark, corpus, monkeypatch, tasks):
     words, vocab, total = corpus
     monkeypatch.setattr(C, "TASK_TOKENS", total // tasks)
@@ -42,7 +42,8 @@ def test_stretches_are_numbered_where_they_are(spark, corpus, monkeypatch, tasks
     for r in spark.read.parquet(*placed.inputFiles()).withColumn("file", F.input_file_name()).collect():
         stretches.setdefault(r.file, []).append(place[r.doc_id, r.chunk_id, r.pos])
     assert all(max(at) - min(at) + 1 == len(at) for at in stretches.values())
-    assert tasks == 4 or len(stretches) > 8 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(stretches) > 8 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert encoded.rdd.getNumPartitions() == C.stretches_of(vocab) >= max(tasks, 16)
 
 
 @pytest.mark.parametrize("block", [1, 64, 1 << 20])
