@@ -73,10 +73,13 @@ class Fixture:
     def vocab(self) -> DataFrame:
         return materialize(V.build_vocab(self.counts(), MIN_FREQ, 0), "vocab")
 
+    def known_words(self) -> DataFrame:
+        """``(doc_id, pos, word_id, freq)`` with original positions."""
+        return V.lookup_words(self.words(), self.vocab).select("doc_id", "pos", "word_id", "freq")
+
     def kept(self) -> DataFrame:
         """``(doc_id, chunk_id, pos, word_id)`` with original positions."""
-        words = V.lookup_words(self.words(), self.vocab).select("doc_id", "pos", "word_id", "freq")
-        return C.dealt(C.chunked(words), self.vocab)
+        return C.dealt(C.chunked(self.known_words()), self.vocab)
 
     def tokens(self) -> DataFrame:
         return C.encode(self.words(), self.vocab)
@@ -85,8 +88,9 @@ class Fixture:
         """``(doc_id, chunk_id, pos, word_id)`` of every token; each task has a stretch of the corpus."""
         return C.encode(self.words(), self.vocab, in_order=True, freq=False)
 
-    def pairs(self) -> DataFrame:
-        return C.context_pairs(self.kept(), WINDOW)
+    def pairs(self, window: int = WINDOW, batch: int = C.BATCH) -> DataFrame:
+        """Pairs of all windows, in tasks that can count them by chunk."""
+        return C.context_pairs(C.dealt_for_pairs(C.chunked(self.known_words(), batch), self.vocab), window)
 
     def pair_counts(self) -> DataFrame:
         return C.both_ways(C.pair_counts(C.later_pairs(self.kept(), WINDOW)))

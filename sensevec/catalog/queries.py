@@ -649,8 +649,7 @@ def likelihood(f: Fixture) -> DataFrame:
 
 @query
 def parallel_likelihood(f: Fixture) -> DataFrame:
-    tokens = C.chunked(f.kept().drop("chunk_id"), LIKELIHOOD_BATCH)
-    counted = C.pair_counts(C.context_pairs(tokens, WSI_WINDOW), "doc_id", "chunk_id")
+    counted = C.pair_counts(f.pairs(WSI_WINDOW, LIKELIHOOD_BATCH), "doc_id", "chunk_id")
     stats = S.likelihood_by(counted, f.model, "doc_id", "chunk_id", min_prob=0.005, decoder=f.decoder)
     return S.merge_means(stats).select(rounded("mean"), "n")
 
@@ -658,8 +657,7 @@ def parallel_likelihood(f: Fixture) -> DataFrame:
 @query
 def likelihood_log(f: Fixture) -> DataFrame:
     """The log of batch means, written and read back."""
-    tokens = C.chunked(f.kept().drop("chunk_id"), LIKELIHOOD_BATCH)
-    pairs = C.pair_counts(C.context_pairs(tokens, WSI_WINDOW), "doc_id", "chunk_id")
+    pairs = C.pair_counts(f.pairs(WSI_WINDOW, LIKELIHOOD_BATCH), "doc_id", "chunk_id")
     stats = S.likelihood_by(pairs, f.model, "doc_id", "chunk_id", min_prob=0.005, decoder=f.decoder)
     return materialize(stats, "likelihood-log").select("doc_id", "chunk_id", rounded("mean"), "n")
 

@@ -13,6 +13,7 @@ from .vocab import lookup_words
 
 BATCH = 64_000
 TASK_TOKENS = 2_000_000  # tokens that a task ranks at most, about, unless one chunk after the other falls to it
+PAIR_TOKENS = 1 << 17  # tokens whose pairs a task counts by document, likewise: a window has several pairs, mostly different ones
 
 
 def chunked(kept: DataFrame, batch: int = BATCH) -> DataFrame:
@@ -23,9 +24,9 @@ def chunked(kept: DataFrame, batch: int = BATCH) -> DataFrame:
     return kept.withColumn("chunk_id", F.floor((F.col("pos") - 1) / batch).cast("int"))
 
 
-def tasks_of(vocab: DataFrame) -> int:
+def tasks_of(vocab: DataFrame, task_tokens: int | None = None) -> int:
     """Tasks that the words of the vocabulary need; ``vocab`` has the frequencies in it."""
-    return math.ceil((vocab.agg(F.sum("freq")).first()[0] or 0) / TASK_TOKENS)
+    return math.ceil((vocab.agg(F.sum("freq")).first()[0] or 0) / (task_tokens or TASK_TOKENS))
 
 
 def stretches_of(vocab: DataFrame) -> int:
@@ -48,6 +49,17 @@ def dealt(kept: DataFrame, vocab: DataFrame, in_order: bool = False) -> DataFram
     return kept.repartition(tasks, "doc_id", "chunk_id")
 
 
+def dealt_for_pairs(kept: DataFrame, counts: DataFrame) -> DataFrame:
+    """Chunks dealt to tasks that count the pairs of ``PAIR_TOKENS`` tokens each, about; ``counts`` has the numbers of tokens as ``freq``.
+
+    Pairs are counted where their windows are built.  With the pairs of millions of tokens at hand a task would take the memory that the
+    windows need, and these would be written out in many small parts.
+    """
+    spark = kept.sparkSession
+    # a number that is named keeps small tasks from being merged at run time
+    return kept.repartition(max(tasks_of(counts, PAIR_TOKENS), spark.sparkContext.defaultParallelism), "doc_id", "chunk_id")
+
+
 def renumber(kept: DataFrame, batch: int = BATCH) -> DataFrame:
     """Positions counted over the kept tokens of each chunk, so a window skips what was dropped."""
     rank = F.row_number().over(W.partitionBy("doc_id", "chunk_id").orderBy("pos"))

@@ -20,7 +20,7 @@ CHUNK = 4096
 ROWS = 1 << 17  # occurrences or pairs that are scored together, and so share the pairs among them
 HOT = 2048  # most frequent words, whose pairs a worker may keep scored
 QUERIES_AT_ONCE = 1024  # whose products with a block of candidates are held together
-KEPT_BYTES = 64 << 20  # scores of other pairs that a worker keeps, the first it meets
+KEPT_BYTES = 32 << 20  # scores of other pairs that a worker keeps, the first it meets
 
 
 class Decoder:
@@ -552,7 +552,8 @@ def round_scorer(shared, senses: int, lr: float, threshold: float):
     return run
 
 
-MERGE_PAIRS = 1 << 21  # different rare pairs of a training round that a task holds before their gradients are added
+ROUND_ROWS = 1 << 16  # occurrences of a training round that are weighed together, beside all the sums that a task holds
+MERGE_PAIRS = 1 << 19  # different rare pairs of a training round that a task holds before their gradients are added
 
 
 class RoundSums:
@@ -748,7 +749,7 @@ def row_round_scorer(shared, side, lr: float, threshold: float):
 
     def run(batches):
         sums = RoundSums(words_of(shared, side), side.value[3], lr, threshold)
-        for batch in gathered(batches):
+        for batch in gathered(batches, ROUND_ROWS):
             sums.add(batch)
         yield from sums.results()
 

@@ -15,13 +15,16 @@ LIKELIHOOD_BATCH = 16_777_216
 
 
 def text_pairs(docs: DataFrame, model: SenseModel, window: int, batch: int = LIKELIHOOD_BATCH) -> DataFrame:
-    tokens = lookup_words(scan_words(docs), model.vocab).select("doc_id", "pos", "word_id")
-    return C.context_pairs(C.chunked(tokens, batch), window)
+    words = scan_words(docs)
+    tokens = lookup_words(words, model.vocab).select("doc_id", "pos", "word_id")
+    sizes = words.agg(F.count("*").alias("freq"))  # of the text, which need not be the one that the vocabulary is from
+    return C.context_pairs(C.dealt_for_pairs(C.chunked(tokens, batch), sizes), window)
 
 
 def text_likelihood(docs: DataFrame, model: SenseModel, window: int = 5, min_prob: float = 0.005) -> DataFrame:
     """``(mean, n)`` over the whole text."""
-    return likelihood(C.pair_counts(text_pairs(docs, model, window)), model, min_prob)
+    # counted where the windows are built; a pair may come once per chunk
+    return likelihood(C.pair_counts(text_pairs(docs, model, window), "doc_id", "chunk_id"), model, min_prob)
 
 
 def batch_likelihood(docs: DataFrame, model: SenseModel, window: int = 5, min_prob: float = 0.005) -> DataFrame:
